@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import media, token_store, warc
+from . import langid, media, pieces, token_store, warc
 
 
 def queries() -> dict:
@@ -10,6 +10,8 @@ def queries() -> dict:
         "op3_token_ids": token_store.op3_token_ids,
         "op5_media_columns": media.op5_media_columns,
         "op6_warc": warc.op6_warc,
+        "op7_sentencepiece": pieces.op7_sentencepiece,
+        "op10_language_id": langid.op10_language_id,
     }
 
 
