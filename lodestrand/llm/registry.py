@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import langid, media, pieces, token_store, warc
+from . import ann, langid, media, pieces, token_store, warc
 
 
 def queries() -> dict:
     return {
+        "op2_nearest": ann.op2_nearest,
         "op3_token_ids": token_store.op3_token_ids,
         "op5_media_columns": media.op5_media_columns,
         "op6_warc": warc.op6_warc,
@@ -27,4 +28,4 @@ FROM f
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_warc": OP6_SQL}
+    return {"op2_nearest": ann.OP2_SQL, "op6_warc": OP6_SQL}
