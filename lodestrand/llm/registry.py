@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import ann, langid, media, pieces, token_store, warc
+from . import ann, langid, media, pieces, pii, token_store, warc
 
 
 def queries() -> dict:
     return {
+        "op1_personal_data": pii.op1_personal_data,
         "op2_nearest": ann.op2_nearest,
         "op3_token_ids": token_store.op3_token_ids,
         "op5_media_columns": media.op5_media_columns,
