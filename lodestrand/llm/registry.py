@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, langid, media, pieces, pii, token_store, warc
+from . import ann, langid, media, neardup, pieces, pii, token_store, warc
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_personal_data": pii.op1_personal_data,
         "op2_nearest": ann.op2_nearest,
         "op3_token_ids": token_store.op3_token_ids,
+        "op4_near_duplicates": neardup.op4_near_duplicates,
         "op5_media_columns": media.op5_media_columns,
         "op6_warc": warc.op6_warc,
         "op7_sentencepiece": pieces.op7_sentencepiece,
