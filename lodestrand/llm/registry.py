@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, langid, media, neardup, pieces, pii, token_store, warc
+from . import ann, langid, media, neardup, pieces, pii, suffix_dedup, token_store, warc
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_media_columns": media.op5_media_columns,
         "op6_warc": warc.op6_warc,
         "op7_sentencepiece": pieces.op7_sentencepiece,
+        "op8_repeated_passages": suffix_dedup.op8_repeated_passages,
         "op10_language_id": langid.op10_language_id,
     }
 
