@@ -1,6 +1,63 @@
-"""The corpus pipeline: STAGES over the documents table, each written as Parquet and read again for the next."""
+"""The corpus pipeline: STAGES over the documents table, each written as Parquet and read again for the next.
+
+A stage takes (spark, docs, sf_dir), docs being all that its predecessor kept, and returns a DataFrame; all but the last
+return the columns of documents. run() applies them to the documents of a folder of tables.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestrand.llm import common, langid, mixing, neardup, pieces, pii
+
+#: Below this mean marginal no language of a text is plain enough to keep it.
+LEAST_SCORE = 0.4
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts whose language can't be told go (null, without a letter, or no language plain); a null lang is filled in."""
+    model = langid.fit(langid.learnable(docs))
+    found = langid.annotate(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
+    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class stays, that of the smallest doc_id."""
+    return neardup.deduplicated(docs)
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data becomes the name of its kind in brackets; n_chars follows. Every document stays."""
+    return pii.masked(docs, pii.fit(docs)).withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast("long")))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sample by probabilities calibrated to the tempered source, language and topic marginals."""
+    return mixing.sampled(docs)
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The SentencePiece ids of every text that is left."""
+    return pieces.encode_column(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path("piece_bpe_32k.model")).drop("text")
+
+
+STAGES = [
+    ("identify_language", identify_language),
+    ("drop_near_duplicates", drop_near_duplicates),
+    ("mask_personal_data", mask_personal_data),
+    ("mix_sources", mix_sources),
+    ("encode_pieces", encode_pieces),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = common.materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
+
+
+#: The trained models and the tokenizer are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None

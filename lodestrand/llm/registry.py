@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import ann, langid, media, neardup, pieces, pii, suffix_dedup, token_store, warc
+import corpus_pipeline
+
+from . import ann, langid, media, mixing, neardup, pieces, pii, suffix_dedup, token_store, warc
 
 
 def queries() -> dict:
@@ -15,7 +17,9 @@ def queries() -> dict:
         "op6_warc": warc.op6_warc,
         "op7_sentencepiece": pieces.op7_sentencepiece,
         "op8_repeated_passages": suffix_dedup.op8_repeated_passages,
+        "op9_mixture": mixing.op9_mixture,
         "op10_language_id": langid.op10_language_id,
+        "pipeline": corpus_pipeline.run,
     }
 
 
@@ -31,4 +35,4 @@ FROM f
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_nearest": ann.OP2_SQL, "op6_warc": OP6_SQL}
+    return {"op2_nearest": ann.OP2_SQL, "op6_warc": OP6_SQL, "op9_mixture": mixing.OP9_SQL}
