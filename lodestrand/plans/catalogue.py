@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from . import corpus
+
+MODULES = (corpus,)
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: s for m in MODULES for name, s in m.SQL.items()}
