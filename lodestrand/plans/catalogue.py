@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import corpus
+from . import corpus, retrieval
 
-MODULES = (corpus,)
+MODULES = (corpus, retrieval)
 
 
 def queries() -> dict:
