@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import os
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -32,45 +33,91 @@ from . import common
 
 MAGIC = b"LODETOK1"
 INDEX = np.dtype([("doc_id", "<i8"), ("flags", "<i8"), ("offset", "<i8"), ("length", "<i8"), ("n_tokens", "<i8")])
+_GAP = r" (?:[\s\x0b\x1c-\x1f\x{85}\pZ]|\z)|\x00"
+_HEAD = r"(?s)^( ?\pL*[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}])([\n!-@\[-`{-~].*)$"
 INDEX_DDL = "part int, seq int, file string, doc_id long, before long, n_tokens long, offset long, length long"
 
 
 @lru_cache(maxsize=4)
-def word_encoder(path: str, cached: int = 400_000) -> Callable[[list[str]], list[np.ndarray]]:
-    """Encoder of whole texts by the tokenizers library that meets each space-led word once.
-
-    A byte-level tokenizer never joins a single space to what stands before it, so a text may be cut before
-    every space that a non-space follows; texts with runs of white space are given to the library uncut.
-    Strings of special tokens are ordinary text. ``cached`` bounds the memory, not the result.
+def word_encoder(path: str, cached: int = 200_000) -> Callable:
+    """Encoder of Arrow string arrays by the tokenizers library: gives all ids and where each text's begin.
+
+    A byte-level tokenizer never joins a space to what stands before it, so a text may be cut before every single
+    space; and a run of letters ends its pre-token, so a word may be cut behind its leading letters (here: where a
+    Latin letter meets an ASCII sign). The library meets each piece once a batch; texts with runs of white
+    space go to it uncut. Strings of special tokens are ordinary text. ``cached`` pieces are kept between batches,
+    which bounds memory, not the result.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    import pyarrow as pa
+    import pyarrow.compute as pc
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
     kind = np.dtype("<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-    first: dict[str, bytes] = {}
-    spaced: dict[str, bytes] = {}
-
-    def learn(cache: dict[str, bytes], words: set[str], lead: str) -> None:
-        if len(cache) + len(words) > cached:
-            cache.clear()
-        fresh = list(words)
+    code = "H" if kind.itemsize == 2 else "I"
+    known: dict[str, bytes] = {}
+
+    def split(values, sign: str):
+        """(distinct parts, index of the part of each place, first place of each value)."""
+        parts = pc.split_pattern(values, sign)
+        flat = parts.flatten().dictionary_encode()
+        return flat.dictionary, flat.indices.to_numpy(), parts.offsets.to_numpy()
+
+    def spread(flat: np.ndarray, begin: np.ndarray, picked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the picked stretches of flat one after another, where each begins)."""
+        size, out, ends = (begin[1:] - begin[:-1]).astype(np.int32), [], [np.zeros(1, np.int64)]
+        for lo in range(0, len(picked), 100_000):  # bounds what the indexes take
+            own = picked[lo : lo + 100_000]
+            count = size[own]
+            end = np.cumsum(count, dtype=np.int64)
+            at = np.repeat(begin[own] - (end - count), count)
+            at += np.arange(len(at))
+            out.append(flat[at])
+            ends.append(end + ends[-1][-1])
+        return np.concatenate(out) if out else flat[:0], np.concatenate(ends)
+
+    def look_up(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        fresh = [p for p in pieces if p not in known]
+        found: dict[str, bytes] = {}
         for at in range(0, len(fresh), 4096):
             block = fresh[at : at + 4096]
-            for word, found in zip(block, tokenizer.encode_batch_fast([lead + w for w in block], add_special_tokens=False), strict=True):
-                cache[word] = np.asarray(found.ids, kind).tobytes()
-
-    def encode(texts: list[str]) -> list[np.ndarray]:
-        split = [t.split(" ") for t in texts]
-        whole = [any(not w or w[0].isspace() for w in parts[1:]) for parts in split]
-        split = [[t] if w else parts for t, parts, w in zip(texts, split, whole, strict=True)]
-        heads = {parts[0] for parts in split}
-        tails = {w for parts in split for w in parts[1:]}
-        learn(first, {w for w in heads if w not in first} if len(first) + len(heads) <= cached else heads, "")
-        learn(spaced, {w for w in tails if w not in spaced} if len(spaced) + len(tails) <= cached else tails, " ")
-        get = spaced.__getitem__
-        return [np.frombuffer(first[parts[0]] + b"".join(map(get, parts[1:])), kind) for parts in split]
+            for piece, hit in zip(block, tokenizer.encode_batch_fast(block, add_special_tokens=False), strict=True):
+                found[piece] = array(code, hit.ids).tobytes()
+        raw = [found[p] if p in found else known[p] for p in pieces]
+        if len(known) < cached:
+            known.update(found)
+        return np.frombuffer(b"".join(raw), kind), np.cumsum(np.r_[0, np.fromiter(map(len, raw), np.int64, len(raw)) // kind.itemsize])
+
+    def encode(texts) -> tuple[np.ndarray, np.ndarray]:
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        whole = pc.match_substring_regex(texts, _GAP)
+        words, word, first = split(pc.if_else(whole, texts, pc.replace_substring(texts, " ", "\0 ")), "\0")
+        odd = np.zeros(len(words), bool)
+        if pc.any(whole).as_py():  # texts that hold the sign themselves came apart at it: put them together again
+            rows = np.flatnonzero(whole.to_numpy(zero_copy_only=False))
+            words = pa.concat_arrays([words, texts.take(pa.array(rows))])
+            keep, size = np.ones(len(word), bool), np.diff(first)
+            for i, r in enumerate(rows):
+                keep[first[r] + 1 : first[r + 1]] = False
+                word = word.copy() if i == 0 else word
+                word[first[r]] = len(odd) + i
+                size[r] = 1
+            word, first, odd = word[keep], np.r_[0, np.cumsum(size)], np.r_[odd, np.ones(len(rows), bool)]
+        cut = pc.if_else(pa.array(odd), words, pc.replace_substring_regex(words, _HEAD, "\\1\0\\2")) if not odd.all() else words
+        plain = np.flatnonzero(~odd)
+        pieces, piece, begin = split(cut.take(pa.array(plain)), "\0")
+        names = pieces.to_pylist() + words.take(pa.array(np.flatnonzero(odd))).to_pylist()
+        piece = np.r_[piece, len(pieces) + np.arange(odd.sum())]
+        begin = np.r_[begin, begin[-1] + 1 + np.arange(odd.sum())]
+        order = np.empty(len(words), np.int64)
+        order[np.r_[plain, np.flatnonzero(odd)]] = np.arange(len(words))
+        ids, at = look_up(names)
+        ids, at = spread(ids, at, piece)
+        at = at[begin]
+        ids, at = spread(ids, at, order[word])
+        return ids, at[first]
 
     encode.dtype = kind
     return encode
@@ -90,7 +137,10 @@ def train_dictionary(docs: DataFrame, encode_path: str, size: int = 65_536, samp
         .select(F.substring("text", 1, sample_chars).alias("text"))
         .where(F.length("text") > 0).limit(2 * sample_docs).collect()
     )
-    samples = [x.tobytes() for x in word_encoder(encode_path)([r.text for r in rows])]
+    import pyarrow as pa
+
+    ids, begin = word_encoder(encode_path)(pa.array([r.text for r in rows], pa.string()))
+    samples = [ids[lo:hi].tobytes() for lo, hi in zip(begin[:-1], begin[1:], strict=True)]
     try:
         return zstandard.train_dictionary(size, samples).as_bytes()
     except zstandard.ZstdError:  # too little to train on: the ids themselves serve as the dictionary
@@ -103,7 +153,7 @@ def _codec(dictionary: bytes):
     return zstandard.ZstdCompressionDict(dictionary) if dictionary else None
 
 
-def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, dictionary: bytes = b"", level: int = 3, shard_bytes: int = 16 << 20) -> DataFrame:
+def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, dictionary: bytes = b"", level: int = 3, shard_bytes: int = 16 << 20, batch_bytes: int = 16 << 20) -> DataFrame:
     """Write all texts below ``folder`` in ascending doc_id order; returns the stored index (INDEX_DDL).
 
     Partitions are ranges of doc_id; a task writes its shards under names that depend on the partition alone, whole
@@ -115,10 +165,14 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0,
     def write(batches: Iterator) -> Iterator:
         import pandas as pd
         import pyarrow as pa
+        import pyarrow.compute as pc
         import zstandard
 
         encode, part = word_encoder(tokenizer), TaskContext.get().partitionId()
-        packer = zstandard.ZstdCompressor(level=level, dict_data=_codec(dictionary))
+        shared = _codec(dictionary)
+        if shared is not None:
+            shared.precompute_compress(level=level)  # else it is digested again for every document
+        packer = zstandard.ZstdCompressor(level=level, dict_data=shared)
         head = MAGIC + hashlib.sha256(dictionary).digest()
         end = np.asarray([end_id], encode.dtype)
         frames, rows, size, seq, before = [], [], len(head), 0, 0
@@ -136,8 +190,13 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0,
         for batch in batches:
             names = batch.column(0).to_pylist()
             texts = batch.column(1)
-            for at in range(0, len(names), 1000):
-                for doc_id, ids in zip(names[at : at + 1000], encode([t or "" for t in texts.slice(at, 1000).to_pylist()]), strict=True):
+            sizes = np.cumsum(np.r_[0, pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)])
+            at = 0
+            while at < len(names):
+                to = max(at + 1, int(np.searchsorted(sizes, sizes[at] + batch_bytes, side="right")) - 1)
+                every, begin = encode(texts.slice(at, to - at))
+                for doc_id, lo, hi in zip(names[at:to], begin[:-1], begin[1:], strict=True):
+                    ids = every[lo:hi]
                     frame = packer.compress(np.append(ids, end).tobytes())
                     rows.append((doc_id, before, len(ids) + 1, size, len(frame)))
                     frames.append(frame)
@@ -145,6 +204,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0,
                     before += len(ids) + 1
                     if size >= shard_bytes:
                         yield close()
+                at = to
         if rows:
             yield close()
 
