@@ -50,7 +50,7 @@ def document_text(title: Column | str, text: Column | str) -> Column:
 
 
 def entity_text(name: Column | str, aliases: Column | str) -> Column:
-    tidy = F.array_sort(F.array_distinct(F.filter(F.transform(F.coalesce(col(aliases), F.array().cast("array<string>")), F.trim), lambda a: a != "")))
+    tidy = F.array_sort(F.array_distinct(F.filter(F.transform(F.coalesce(col(aliases), F.array().cast("array<string>")), lambda a: F.trim(a)), lambda a: a != "")))
     return F.concat_ws("\n", col(name), F.array_join(tidy, "\n"))
 
 

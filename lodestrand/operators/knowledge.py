@@ -38,7 +38,7 @@ def normalized_entities(entities: DataFrame) -> DataFrame:
     bad = ~F.col("kind").isin(*KINDS) | (normalize_name(tidy) == "")
     name = F.when(bad, F.raise_error(F.concat(F.lit("invalid entity in chunk "), F.col("chunk_id").cast("string")))).otherwise(tidy)
     rows = entities.withColumn("name", name).withColumn("normalized", normalize_name("name"))
-    trimmed = F.filter(F.transform("aliases", F.trim), lambda a: a != "")
+    trimmed = F.filter(F.transform("aliases", lambda a: F.trim(a)), lambda a: a != "")
     grouped = rows.groupBy("chunk_id", "kind", "normalized").agg(F.min_by("name", "pos").alias("name"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(trimmed)))).alias("aliases"))
     return grouped.withColumn("id", entity_id(F.col("kind"), F.col("name")))
 

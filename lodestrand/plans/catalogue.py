@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import corpus, retrieval
+from . import corpus, knowledge, retrieval
 
-MODULES = (corpus, retrieval)
+MODULES = (corpus, retrieval, knowledge)
 
 
 def queries() -> dict:

@@ -56,7 +56,7 @@ def parse_markdown(files: DataFrame) -> DataFrame:
     return base.select(
         hash_id("doc_", F.col("_name"), 16).alias("id"),
         F.when(title == "", F.initcap(F.replace("_stem", F.lit("-"), F.lit(" ")))).otherwise(title).alias("title"),
-        F.filter(F.transform(F.split(authors, ","), F.trim), lambda a: a != "").alias("authors"),
+        F.filter(F.transform(F.split(authors, ","), lambda a: F.trim(a)), lambda a: a != "").alias("authors"),
         F.when(year.rlike(r"^\d+$"), year.cast("int")).alias("year"),
         F.when(source == "", F.col("_stem")).otherwise(source).alias("source_id"),
         F.regexp_replace("_body", r"^\s+|\s+$", "").alias("text"),
