@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import corpus, knowledge, retrieval
+from . import corpus, knowledge, retrieval, scoring
 
-MODULES = (corpus, retrieval, knowledge)
+MODULES = (corpus, retrieval, knowledge, scoring)
 
 
 def queries() -> dict:
