@@ -65,7 +65,7 @@ def parse_markdown(files: DataFrame) -> DataFrame:
 
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     """Documents of all .md files below a path, by path; none at all fails."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.md").text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    files = spark.read.text(path, wholetext=True, pathGlobFilter="*.md").select(F.col("_metadata.file_path").alias("path"), "value")
     if files.isEmpty():
         raise ValueError(f"no Markdown file in {path}")
     return parse_markdown(files)
