@@ -221,8 +221,11 @@ def test_limiter_stream(spark, tmp_path):
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
     spark.createDataFrame([(1, i, float(t)) for i, t in enumerate((0, 1, 2, 60))], "user_id long, event_id long, seconds double").coalesce(1).write.parquet(src)
     stream = spark.readStream.schema("user_id long, event_id long, seconds double").parquet(src)
+    # with time-outs on, a query that ends when all is read would run empty batches for ever
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     query = requests.limited_stream(stream, 2, 60.0).writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    query.awaitTermination()
+    assert query.awaitTermination(60)
+    spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
     assert [r.admitted for r in spark.read.parquet(out).orderBy("event_id").collect()] == [True, True, False, True]
 
 
@@ -231,5 +234,5 @@ def test_cache_stream(spark, tmp_path):
     spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "k int, v string").write.parquet(src)
     for n in range(2):
         stream = spark.readStream.schema("k int, v string").parquet(src)
-        requests.cache_stream(stream, out, str(tmp_path / f"cp{n}"), "k", lambda b: b.select("k")).awaitTermination()
+        requests.cache_stream(stream, out, str(tmp_path / f"cp{n}"), "k", lambda b: b.select("k")).awaitTermination(60)
     assert sorted(r.k for r in spark.read.parquet(out).collect()) == [1, 2]
