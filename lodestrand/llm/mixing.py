@@ -39,9 +39,9 @@ def tokens_of(text: Column) -> Column:
 
 
 def described(docs: DataFrame, text: str = "text", topic: Column | None = None) -> DataFrame:
-    """docs with the cell columns _source, _lang, _topic and n_tokens."""
+    """docs with the cell columns _source, _lang, _topic and _tokens."""
     known = lambda c: F.coalesce(c.cast("string"), F.lit("unknown"))
-    return docs.withColumns({"_source": known(F.col("source")), "_lang": known(F.col("lang")), "_topic": known(topic_of(F.col(text)) if topic is None else topic), "n_tokens": tokens_of(F.col(text))})
+    return docs.withColumns({"_source": known(F.col("source")), "_lang": known(F.col("lang")), "_topic": known(topic_of(F.col(text)) if topic is None else topic), "_tokens": tokens_of(F.col(text))})
 
 
 def targets(cells: DataFrame, dimension: str, temper: float = 0.5, given: dict[str, float] | None = None) -> DataFrame:
@@ -59,43 +59,45 @@ def targets(cells: DataFrame, dimension: str, temper: float = 0.5, given: dict[s
 
 def rake(cells: DataFrame, goals: dict[str, DataFrame], sweeps: int = 8) -> DataFrame:
     """cells (…, tokens) with w, raked to the goals; written out once a sweep."""
-    cells = cells.withColumn("w", F.col("tokens").cast("double"))
+    columns = [*cells.columns, "w"]
+    for dimension, goal in goals.items():
+        cells = cells.join(goal.withColumnRenamed("target", f"t{dimension}"), dimension)
+    cells = common.materialize(cells.withColumn("w", F.col("tokens").cast("double")), "raked")
     for _ in range(sweeps):
-        for dimension, goal in goals.items():
+        for dimension in goals:
             sums = cells.groupBy(dimension).agg(F.sum("w").alias("mass"))
-            scale = sums.join(goal, dimension).select(dimension, F.when(F.col("mass") > 0, F.col("target") / F.col("mass")).otherwise(0.0).alias("scale"))
-            cells = cells.join(scale, dimension).withColumn("w", F.col("w") * F.col("scale")).drop("scale")
+            cells = cells.join(sums, dimension).withColumn("w", F.col("w") * F.when(F.col("mass") > 0, F.col(f"t{dimension}") / F.col("mass")).otherwise(0.0)).drop("mass")
         cells = common.materialize(cells, "raked")
-    return cells
+    return cells.select(*columns)
 
 
 def weigh(docs: DataFrame, share: float = 0.5, temper: float = 0.5, sweeps: int = 8, seed: str = "mix", given: dict[str, dict[str, float]] | None = None, text: str = "text", wide: DataFrame | None = None) -> DataFrame:
     """docs (as described) with weight, probability and kept. ``wide`` is what gets the columns, if not docs."""
     keys = [f"_{d}" for d in DIMENSIONS]
-    cells = common.materialize(docs.groupBy(*keys).agg(F.sum("n_tokens").alias("tokens")), "cells")
+    cells = common.materialize(docs.groupBy(*keys).agg(F.sum("_tokens").alias("tokens")), "cells")
     goals = {f"_{d}": common.materialize(targets(cells, f"_{d}", temper, (given or {}).get(d)), "goal") for d in DIMENSIONS}
     ratio = F.when(F.col("tokens") > 0, F.col("w") / F.col("tokens")).otherwise(1.0)
     raked = rake(cells, goals, sweeps).select(*keys, (F.lit(share) * ratio).alias("_rate"))
     draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string"))), 1, 8), 16, 10).cast("double") / 4294967296.0
     probability = F.least(F.lit(1.0), F.col("_rate"))
-    out = (docs if wide is None else wide).drop("weight", "probability", "kept").join(raked, keys)
+    wide = docs if wide is None else wide
+    out = wide.join(raked, keys)
     return out.withColumns({"weight": F.when(probability > 0, F.col("_rate") / probability).otherwise(0.0), "probability": probability, "kept": draw < probability}).drop("_rate")
 
 
 def sampled(docs: DataFrame, **options) -> DataFrame:
     """The documents that sampling keeps, with their own columns."""
-    columns = docs.columns
-    full = described(docs.drop("n_tokens") if "n_tokens" in columns else docs)
-    slim = common.materialize(full.select("_source", "_lang", "_topic", "n_tokens"), "described")
-    kept = weigh(slim, wide=full, **options).where("kept")
-    return kept.select(*[c for c in columns if c != "n_tokens"], *(["n_tokens"] if "n_tokens" in columns else []))
+    row = F.struct(*docs.columns).alias("_row")
+    full = described(docs.select(row, "doc_id", "text", "source", "lang"))
+    slim = common.materialize(full.select("_source", "_lang", "_topic", "_tokens"), "described")
+    return weigh(slim, wide=full, **options).where("kept").select("_row.*")
 
 
 def op9_mixture(spark, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents", "doc_id", "text", "source", "lang")
-    slim = common.materialize(described(docs).select("doc_id", "_source", "_lang", "_topic", "n_tokens"), "described")
+    slim = common.materialize(described(docs).select("doc_id", "_source", "_lang", "_topic", "_tokens"), "described")
     out = weigh(slim)
-    return out.select("doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), "n_tokens", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"), "kept")
+    return out.select("doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"), "kept")
 
 
 def _sql(share: float = 0.5, temper: float = 0.5, sweeps: int = 8, seed: str = "mix") -> str:
