@@ -6,14 +6,15 @@ Poisson process of that rate: arrivals come at exponential gaps and each falls o
 shingle of its earliest arrival. A shingle stops once its next arrival is later than every register of its document. Two
 documents agree in a register with the probability Jaccard similarity of their weighted sets.
 
-Registers are joined to bands; documents that share a band are candidates. A pair is linked if the exact probability
-Jaccard of its shingles, or the plain Jaccard of the sets, is at least ``threshold``. Classes are connected components
-of links, named by their smallest doc_id.
+Registers are joined to bands; documents that share a band are candidates. A candidate pair is linked if the exact Jaccard
+similarity of its shingle sets is at least ``threshold``; the weights grow so slowly that both measures differ little.
+Classes are connected components of links, named by their smallest doc_id.
 
 No bucket is expanded in all pairs. First every member of a bucket is verified against its smallest member, which
-joins large groups of copies at once. What is left are pairs between different components within a bucket; where
-they number at most ``LIGHT`` times the bucket's size they are verified directly, else by further pivots, one a round,
-until no such pair is untested. No bucket is capped and no link between different texts is lost.
+joins large groups of copies at once. What is left are pairs between different components within a bucket. An bound rules most of them out: with o(x) shingles of x that no other text of such buckets has, |x & y| <= min(|x| - o(x),
+|y| - o(y)) and |x | y| >= max(|x| + o(y), |y| + o(x)). Members that it lets reach no other component are done. The
+others meet all members of their bucket in blocks, where products of 0-1 matrices give all intersections at once, and
+of whose links only a forest is returned. No bucket is capped and no link between different texts is lost.
 
 Equal texts are one node. Documents without a word (null, empty, white space) are a class each. A null doc_id is never a
 name unless no other is there. Extra columns are ignored; repeated rows share their class.
@@ -29,7 +30,11 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SHINGLE, BANDS, ROWS, LIGHT = 5, 25, 5, 64
+SHINGLE, BANDS, ROWS = 5, 25, 5
+#: Sets of a block that may gain links, and sets that they are compared with.
+BLOCK = (512, 1024)
+#: Nodes whose names (a long, a long and 32 characters each, some 25 MB in all) may be sent to every executor.
+BROADCAST_ROWS = 250_000
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -170,7 +175,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
                 for t, u in zip(left, right, strict=True):
                     i, j = each[t], each[u]
                     a, b = slice(cut[i], cut[i + 1]), slice(cut[j], cut[j + 1])
-                    linked.append(max(similarity(h[a], count[a], h[b], count[b])) >= threshold)
+                    linked.append(similarity(h[a], count[a], h[b], count[b])[1] >= threshold)
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(linked, pa.bool_())), part.column(1).filter(pa.array(linked, pa.bool_()))], ["a", "b"])
 
     with_a = pairs.join(texts.select(F.col("nid").alias("a"), F.col("text").alias("text_a")), "a")
@@ -194,14 +199,119 @@ def components(edges: DataFrame, labels: DataFrame) -> DataFrame:
         labels = common.materialize(moved.select("nid", F.coalesce("lo", "label").alias("label")), "labels")
 
 
-def _texts(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(nid, text) of the nodes in pairs, each read from one of its documents."""
-    need = pairs.select(F.explode(F.array("a", "b")).alias("nid")).distinct().join(nodes.select("nid", "node", "rep"), "nid")
-    named = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").withColumn("node", F.md5("text"))
-    found = named.join(need, named["rep"].eqNullSafe(need["rep"]) & (named["node"] == need["node"])).select("nid", "text")
+def _texts(docs: DataFrame, nodes: DataFrame, members: DataFrame) -> DataFrame:
+    """(nid, text) of the nodes that share a bucket with another, each read from one of its documents. The names of the
+    nodes are broadcast where they are few; else both sides are shuffled."""
+    need = members.select("nid").distinct().join(nodes.select("nid", F.col("node").alias("_node"), "rep"), "nid")
+    need = F.broadcast(need) if need.count() <= BROADCAST_ROWS else need
+    named = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").withColumn("_hash", F.md5("text"))
+    found = named.join(need, named["_id"].eqNullSafe(need["rep"]) & (named["_hash"] == need["_node"])).select("nid", "text")
     return common.materialize(found.dropDuplicates(["nid"]), "texts")
 
 
+def _sets(texts: DataFrame) -> DataFrame:
+    """(nid, h): the sorted shingles of each text."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 500):
+                part = batch.slice(lo, 500)
+                doc, h, _ = shingles(part.column(1).to_pylist())
+                cut = _slices(part.num_rows, doc).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(cut), pa.array(h.view(np.int64)))], ["nid", "h"])
+
+    return common.materialize(texts.select("nid", "text").mapInArrow(run, "nid long, h array<long>"), "sets")
+
+
+def _rarity(sets: DataFrame) -> DataFrame:
+    """(nid, size, own): how many shingles a text has, and how many of them no other text here has."""
+    lone = sets.select("nid", F.explode("h").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("nid").alias("nid")).where("n = 1")
+    return sets.select("nid", F.size("h").alias("size")).join(lone.groupBy("nid").agg(F.count(F.lit(1)).alias("own")), "nid", "left").select("nid", "size", F.coalesce("own", F.lit(0)).alias("own"))
+
+
+def _most(sx: str, ox: str, sy: str, oy: str):
+    """Upper bound of the Jaccard similarity of two sets from their sizes and counts of shingles that no other has."""
+    both = F.least(F.col(sx) - F.col(ox), F.col(sy) - F.col(oy))
+    return both / F.greatest(F.col(sx) + F.col(oy), F.col(sy) + F.col(ox))
+
+
+def intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every set in a with every one in b. Elements of many sets are counted by products of
+    0-1 matrices, a few thousand at a time, the others pair by pair."""
+    flat = np.concatenate([*a, *b])
+    row = np.repeat(np.arange(len(a) + len(b)), [len(x) for x in (*a, *b)])
+    _, column, count = np.unique(flat, return_inverse=True, return_counts=True)
+    out = np.zeros((len(a), len(b)), np.float32)
+    wide = np.flatnonzero(count >= 24)
+    place = np.full(len(count), -1)
+    place[wide] = np.arange(len(wide))
+    for lo in range(0, len(wide), 4096):
+        own = (place[column] >= lo) & (place[column] < lo + 4096)
+        m = np.zeros((len(a) + len(b), min(4096, len(wide) - lo)), np.float32)
+        m[row[own], place[column[own]] - lo] = 1
+        out += m[: len(a)] @ m[len(a) :].T
+    rare = (count[column] > 1) & (count[column] < 24)
+    order = np.argsort(column[rare], kind="stable")
+    row, column = row[rare][order], column[rare][order]
+    for step in range(1, 24):  # pairs that lie ``step`` apart in the list of an element's sets
+        same = column[step:] == column[:-step] if len(column) > step else np.zeros(0, bool)
+        if not same.any():
+            break
+        x, y = row[:-step][same], row[step:][same]
+        ok = (x < len(a)) & (y >= len(a))
+        np.add.at(out, (x[ok], y[ok] - len(a)), 1)
+    return out
+
+
+def _blocks(open_: DataFrame, sets: DataFrame, threshold: float, some: int | None = None, all_: int | None = None) -> DataFrame:
+    """Links (a, b) between the components of buckets that have several.
+
+    Members outside a bucket's main component that the bound lets reach no other component are done; the bound is
+    compared with the bucket's few distinct (size, own) values. The others meet all members of their bucket in blocks of
+    about ``some`` by ``all_`` sets; what leaves a block is a forest of its links, at most a row per set.
+    """
+    some, all_ = some or BLOCK[0], all_ or BLOCK[1]
+    stats = common.materialize(_rarity(sets), "rarity")
+    h = common.materialize(open_.join(stats, "nid"), "bounded")
+    kinds = h.groupBy("band", F.col("size").alias("sy"), F.col("own").alias("oy")).agg(F.min("label").alias("l1"), F.max("label").alias("l2"))
+    able = h.where("label <> main").join(kinds, "band").where((F.col("l1") != F.col("label")) | (F.col("l2") != F.col("label"))).where(_most("size", "own", "sy", "oy") >= threshold)
+    able = common.materialize(able.select("band", "nid", "label", "n").distinct(), "able")
+    cuts = able.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / some).cast("int").alias("v"), F.ceil(F.max("n") / all_).cast("int").alias("y"))
+    deal = lambda parts: F.pmod(F.xxhash64("nid"), F.col(parts)).cast("int")
+    range_ = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+    left = able.join(cuts, "band").select("band", deal("v").alias("i"), range_("y").alias("j"), "nid", "label", F.lit(True).alias("left"))
+    right = h.select("band", "nid", "label").join(cuts, "band").select("band", range_("v").alias("i"), deal("y").alias("j"), "nid", "label", F.lit(False).alias("left"))
+    rows = left.unionByName(right).join(sets, "nid").select("band", "i", "j", "nid", "label", "left", "h")
+
+    def run(frame):
+        import pandas as pd
+
+        x, y = frame[frame["left"]], frame[~frame["left"]]
+        links = []
+        if len(x) and len(y):
+            both = intersections(list(x["h"]), list(y["h"]))
+            size = lambda f: f["h"].map(len).to_numpy()
+            union = size(x)[:, None] + size(y)[None] - both
+            lx, ly = x["label"].to_numpy(), y["label"].to_numpy()
+            parent: dict[int, int] = {}
+
+            def root(n: int) -> int:
+                while n in parent:
+                    n = parent[n]
+                return n
+
+            for i, j in np.argwhere((both >= threshold * union - 1e-6) & (lx[:, None] != ly[None])).tolist():
+                a, b = root(int(lx[i])), root(int(ly[j]))
+                if a != b:
+                    parent[a] = b
+                    links.append((int(x["nid"].iloc[i]), int(y["nid"].iloc[j])))
+        return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
+
+    return rows.groupBy("band", "i", "j").applyInPandas(run, "a long, b long")
+
+
 def classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """(doc_id, node, class_id, keep): the class of every document; keep marks the one that names its class."""
     signed = common.materialize(_sign(docs), "signed")
@@ -210,29 +320,17 @@ def classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     rows = nodes.select("nid", F.explode("bands").alias("band"))
     buckets = rows.groupBy("band").agg(F.min("nid").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
     members = common.materialize(rows.join(buckets, "band"), "members")
+    texts = _texts(docs, nodes, members)
     tested = common.materialize(members.where("nid <> b").select(F.col("nid").alias("a"), "b").distinct(), "pairs")
     labels = nodes.select("nid", F.col("nid").alias("label"))
-    labels = components(common.materialize(_verify(tested, _texts(docs, nodes, tested), threshold), "links"), labels)
-    turn, heavy = 0, True
-    while heavy:
-        placed = members.select("band", "nid", "n").join(labels, "nid")
-        each = placed.groupBy("band", "label").agg(F.count(F.lit(1)).alias("size"), F.max("n").alias("n"))
-        mixed = each.groupBy("band").agg(F.max("n").alias("n"), F.sum(F.col("size") * F.col("size")).alias("inner"), F.max(F.struct("size", "label"))["label"].alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-        mixed = mixed.withColumn("light", (F.col("n") * F.col("n") - F.col("inner")) / 2 <= LIGHT * F.col("n"))
-        open_ = common.materialize(placed.drop("n").join(mixed.select("band", "main", "light"), "band"), "open")
-        light = open_.where("light")
-        few = light.where("label <> main").select("band", F.col("nid").alias("x"), F.col("label").alias("lx"))
-        pairs = few.join(light.select("band", F.col("nid").alias("y"), F.col("label").alias("ly")), "band").where("lx <> ly").select("x", "y")
-        if heavy := not open_.where("not light").isEmpty():
-            turn += 1
-            order = F.struct(F.xxhash64("nid", F.lit(turn)), "nid", "label")
-            pivot = open_.where("not light").groupBy("band").agg(F.min(order).alias("p")).select("band", F.col("p.nid").alias("x"), F.col("p.label").alias("lx"))
-            pairs = pairs.union(open_.where("not light").join(pivot, "band").where("label <> lx").select("x", F.col("nid").alias("y")))
-        pairs = pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-        pairs = common.materialize(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        if not pairs.isEmpty():
-            labels = components(common.materialize(_verify(pairs, _texts(docs, nodes, pairs), threshold), "links"), labels)
-            tested = tested.union(pairs)
+    labels = components(common.materialize(_verify(tested, texts, threshold), "links"), labels)
+    placed = members.select("band", "nid").join(labels, "nid")
+    each = placed.groupBy("band", "label").agg(F.count(F.lit(1)).alias("size"))
+    mixed = each.groupBy("band").agg(F.max(F.struct("size", "label"))["label"].alias("main"), F.sum("size").alias("n"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    open_ = common.materialize(placed.join(mixed.drop("parts"), "band"), "open")
+    if not open_.isEmpty():
+        sets = _sets(texts.join(open_.select("nid").distinct(), "nid"))
+        labels = components(common.materialize(_blocks(open_, sets, threshold), "links"), labels)
     named = nodes.select("nid", "node", "rep").join(labels, "nid")
     first = named.groupBy("label").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "node")).alias("first"))
     named = named.join(first, "label").select("node", F.col("first.rep").alias("class_id"), F.col("first.node").alias("first_node"))
