@@ -18,6 +18,7 @@ LEAST_SCORE = 0.4
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts whose language can't be told go (null, without a letter, or no language plain); a null lang is filled in."""
+    common.slim_batches(spark)
     model = langid.fit(langid.learnable(docs))
     found = langid.annotate(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
     return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
@@ -25,11 +26,13 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class stays, that of the smallest doc_id."""
+    common.slim_batches(spark)
     return neardup.deduplicated(docs)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data becomes the name of its kind in brackets; n_chars follows. Every document stays."""
+    common.slim_batches(spark)
     return pii.masked(docs, pii.fit(docs)).withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast("long")))
 
 
@@ -40,6 +43,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The SentencePiece ids of every text that is left."""
+    common.slim_batches(spark)
     return pieces.encode_column(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path("piece_bpe_32k.model")).drop("text")
 
 

@@ -90,7 +90,7 @@ class Vocabulary:
             if ok is None:
                 a, b = self.piece[key // self.size], self.piece[key % self.size]
                 ok = self.merge(a + b) == [a, b]
-                if len(self.pairs) < 2_000_000:
+                if len(self.pairs) < 300_000:
                     self.pairs[key] = ok
             found[n] = ok
         return found[where]
@@ -221,7 +221,7 @@ def encode_words(words: list[str], v: Vocabulary) -> list[bytes]:
 class Encoder:
     """Encodes and decodes batches of texts; words met before are remembered up to a bound on memory."""
 
-    def __init__(self, path: str, remembered: int = 250_000):
+    def __init__(self, path: str, remembered: int = 150_000):
         self.v, self.known, self.bound = vocabulary(path), {}, remembered
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
