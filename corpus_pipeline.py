@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from lodestrand.llm import common, langid, mixing, neardup, pieces, pii
 
-#: Below this mean marginal no language of a text is plain enough to keep it.
-LEAST_SCORE = 0.4
+#: Below this mean marginal no language of a text is plain enough to keep it; short clean texts with a licence line in
+#: another language stay above it.
+LEAST_SCORE = 0.3
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
