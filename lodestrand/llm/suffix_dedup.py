@@ -108,7 +108,7 @@ def repeated(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, length: in
         key = key * len(used) + np.roll(symbols, -j)
     depth, ranks = each, 0
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)  # equal rotations may come in any order
         key = key[order]
         new = np.r_[0, np.cumsum(key[1:] != key[:-1])]
         rank = np.empty(n, np.int64)
@@ -130,7 +130,7 @@ def repeated(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, length: in
     np.cumsum(np.bitwise_count(bits[:-1]), axis=0, out=counts[1:], dtype=np.int32)
     base = np.cumsum(np.bincount(symbols, minlength=k)) - np.bincount(symbols, minlength=k)
     follow = np.empty(n, np.int64)
-    follow[np.argsort(bwt, kind="stable")] = np.arange(n)
+    follow[np.argsort(bwt.astype(np.uint16), kind="stable")] = np.arange(n)
 
     def before(place: np.ndarray) -> np.ndarray:
         mask = (np.uint64(1) << (place & 63).astype(np.uint64)) - np.uint64(1)
