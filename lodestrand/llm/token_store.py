@@ -39,7 +39,7 @@ INDEX_DDL = "part int, seq int, file string, doc_id long, before long, n_tokens
 
 
 @lru_cache(maxsize=4)
-def word_encoder(path: str, cached: int = 200_000) -> Callable:
+def word_encoder(path: str, cached: int = 600_000) -> Callable:
     """Encoder of Arrow string arrays by the tokenizers library: gives all ids and where each text's begin.
 
     A byte-level tokenizer never joins a space to what stands before it, so a text may be cut before every single
@@ -68,8 +68,8 @@ def word_encoder(path: str, cached: int = 200_000) -> Callable:
     def spread(flat: np.ndarray, begin: np.ndarray, picked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(the picked stretches of flat one after another, where each begins)."""
         size, out, ends = (begin[1:] - begin[:-1]).astype(np.int32), [], [np.zeros(1, np.int64)]
-        for lo in range(0, len(picked), 100_000):  # bounds what the indexes take
-            own = picked[lo : lo + 100_000]
+        for lo in range(0, len(picked), 1_000_000):  # bounds what the indexes take
+            own = picked[lo : lo + 1_000_000]
             count = size[own]
             end = np.cumsum(count, dtype=np.int64)
             at = np.repeat(begin[own] - (end - count), count)
@@ -79,15 +79,14 @@ def word_encoder(path: str, cached: int = 200_000) -> Callable:
         return np.concatenate(out) if out else flat[:0], np.concatenate(ends)
 
     def look_up(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        fresh = [p for p in pieces if p not in known]
-        found: dict[str, bytes] = {}
+        raw = list(map(known.get, pieces))
+        fresh = [i for i, x in enumerate(raw) if x is None]
         for at in range(0, len(fresh), 4096):
             block = fresh[at : at + 4096]
-            for piece, hit in zip(block, tokenizer.encode_batch_fast(block, add_special_tokens=False), strict=True):
-                found[piece] = array(code, hit.ids).tobytes()
-        raw = [found[p] if p in found else known[p] for p in pieces]
+            for i, hit in zip(block, tokenizer.encode_batch_fast([pieces[i] for i in block], add_special_tokens=False), strict=True):
+                raw[i] = array(code, hit.ids).tobytes()
         if len(known) < cached:
-            known.update(found)
+            known.update((pieces[i], raw[i]) for i in fresh)
         return np.frombuffer(b"".join(raw), kind), np.cumsum(np.r_[0, np.fromiter(map(len, raw), np.int64, len(raw)) // kind.itemsize])
 
     def encode(texts) -> tuple[np.ndarray, np.ndarray]:
