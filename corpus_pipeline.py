@@ -38,8 +38,8 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample by probabilities calibrated to the tempered source, language and topic marginals."""
-    return mixing.sampled(docs)
+    """A sample by rates calibrated to the tempered source, language and topic marginals; rates above 1 repeat documents."""
+    return mixing.sampled(docs, repeated=True)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,6 +4,8 @@ Documents fall in cells of source, language and topic. The cells' token counts a
 target tokens of every source, then of every language, then of every topic. A document's ratio is its cell's raked over
 its counted tokens. It is kept with probability min(1, share * ratio), by a hash of its id, and carries as weight what
 the cap cuts off (share * ratio / probability), so that weighted tokens of the sample meet the targets in expectation.
+Where no weight is carried on, copies stand for it: the whole part of share * ratio, and one more with the rest as
+probability, so that plain tokens meet the targets.
 
 All of it is DataFrame expressions: sums meet by partial aggregation, marginals join the cells, and no step gathers
 documents of a cell. Targets default to the tempered shares of the table itself (``temper`` = 0 makes them equal, 1
@@ -72,7 +74,7 @@ def rake(cells: DataFrame, goals: dict[str, DataFrame], sweeps: int = 8) -> Data
 
 
 def weigh(docs: DataFrame, share: float = 0.5, temper: float = 0.5, sweeps: int = 8, seed: str = "mix", given: dict[str, dict[str, float]] | None = None, text: str = "text", wide: DataFrame | None = None) -> DataFrame:
-    """docs (as described) with weight, probability and kept. ``wide`` is what gets the columns, if not docs."""
+    """docs (as described) with weight, probability, kept and copies. ``wide`` is what gets the columns, if not docs."""
     keys = [f"_{d}" for d in DIMENSIONS]
     cells = common.materialize(docs.groupBy(*keys).agg(F.sum("_tokens").alias("tokens")), "cells")
     goals = {f"_{d}": common.materialize(targets(cells, f"_{d}", temper, (given or {}).get(d)), "goal") for d in DIMENSIONS}
@@ -82,15 +84,18 @@ def weigh(docs: DataFrame, share: float = 0.5, temper: float = 0.5, sweeps: int
     probability = F.least(F.lit(1.0), F.col("_rate"))
     wide = docs if wide is None else wide
     out = wide.join(raked, keys)
-    return out.withColumns({"weight": F.when(probability > 0, F.col("_rate") / probability).otherwise(0.0), "probability": probability, "kept": draw < probability}).drop("_rate")
+    return out.withColumns({"weight": F.when(probability > 0, F.col("_rate") / probability).otherwise(0.0), "probability": probability, "kept": draw < probability, "copies": (F.floor("_rate") + (draw < F.col("_rate") - F.floor("_rate")).cast("int")).cast("int")}).drop("_rate")
 
 
-def sampled(docs: DataFrame, **options) -> DataFrame:
-    """The documents that sampling keeps, with their own columns."""
+def sampled(docs: DataFrame, repeated: bool = False, **options) -> DataFrame:
+    """The documents that sampling keeps, with their own columns; ``repeated`` gives as many rows of each as its copies."""
     row = F.struct(*docs.columns).alias("_row")
     full = described(docs.select(row, "doc_id", "text", "source", "lang"))
     slim = common.materialize(full.select("_source", "_lang", "_topic", "_tokens"), "described")
-    return weigh(slim, wide=full, **options).where("kept").select("_row.*")
+    out = weigh(slim, wide=full, **options)
+    if repeated:
+        return out.where("copies > 0").select("_row", F.explode(F.sequence(F.lit(1), "copies"))).select("_row.*")
+    return out.where("kept").select("_row.*")
 
 
 def op9_mixture(spark, sf_dir: str) -> DataFrame:

@@ -215,6 +215,14 @@ def test_mixing(spark, docs):
     assert kept.columns == docs.columns and kept.count() <= len(TEXTS) and mixing.sampled(docs.limit(0)).count() == 0
 
 
+def test_mixed_sources_meet_their_target(spark, tmp_path):
+    """Shares of 0.99 and 0.01 are tempered to 0.909 and 0.091; the small source's rate is 4.6."""
+    rows = [(i, "ten plain words that say nothing at all of note", "en", "small" if i % 100 == 0 else "big", 47) for i in range(1000)]
+    out = corpus_pipeline.mix_sources(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), str(tmp_path))
+    n = Counter(r.source for r in out.collect())
+    assert n["small"] / n.total() == pytest.approx(1 / (1 + 99**0.5), abs=0.01) and n.total() == pytest.approx(500, abs=50)
+
+
 def test_pieces(spark, docs, path):
     model = path("piece_bpe_32k.model")
     got = pieces.encode_column(docs, model)
