@@ -38,7 +38,8 @@ _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_TRIGGER = re.compile(r"[0-9@]|[(\[{<] ?[Aa][Tt] ?[)\]}>]| [Aa][Tt] (?=[^\n]{1,40} [Dd][Oo][Tt] )")
+#: A sign, or a spelled-out "at": in brackets, or between spaces before any host that plausible() takes.
+_TRIGGER = re.compile(r"[0-9@]|[(\[{<] ?at ?[)\]}>]| at [a-z0-9-]+(?: ?(?:\.|[(\[{<] ?dot ?[)\]}>]|(?<= )dot(?= )) ?[a-z0-9-]+)+", re.IGNORECASE)
 
 Span = tuple[int, int, int]  # start, kind, end
 
@@ -232,7 +233,7 @@ def invent(rng: np.random.Generator) -> tuple[str, int]:
         form = int(rng.integers(6))
         if form < 3:
             return f"{user}@{host}.{top}", 0
-        at, dot = pick((" at ", " dot "), ("(at)", "(dot)"), ("[at]", "[dot]"), (" [at] ", " [dot] "), (" (at) ", "."), (" @ ", "."))
+        at, dot = pick((" at ", " dot "), ("(at)", "(dot)"), ("[at]", "[dot]"), (" [at] ", " [dot] "), (" (at) ", "."), (" @ ", "."), (" at ", "."), (" at ", " (dot) "), (" at ", "(dot)"), (" AT ", " DOT "), ("{at}", "{dot}"), ("<at>", " . "))
         return user + at + host.replace(".", dot) + dot + top, 0
     if kind == 1:
         return pick(".", ".", ".", " . ").join(str(int(n)) for n in rng.integers(0, 256, 4)), 1
@@ -248,7 +249,7 @@ def invent(rng: np.random.Generator) -> tuple[str, int]:
         a, b, c = num(3), num(3), num(4)
         return pick(f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"+44 20 {c} {num(4)}", f"+49 {a} {num(7)}", f"00 33 1 {num(2)} {num(2)} {num(2)} {num(2)}", f"+34 {a} {b} {num(3)}", f"({a}){b}-{c}"), 3
     hexa = "".join("0123456789abcdef"[int(c)] for c in rng.integers(0, 16, int(rng.integers(20, 44))))
-    return pick(f'token = "{hexa}"', f'key = "{hexa}"', hexa, num(1) + "." + num(1), f"v{num(1)}.{num(1)}.{num(2)}", f"20{num(2)}-0{num(1)}-1{num(1)}", f"{num(2)}:{num(2)}:{num(2)}", f"${num(1)},{num(3)}.{num(2)}", num(int(rng.integers(1, 7))) + pick(".", "", "%"), f"{num(4)}, {num(4)}", num(24), f"{num(1)}. {word()} {num(1)}. {word()}", f"@{word()}", f"{num(3)}.{num(3)}.{num(3)}"), -1
+    return pick(f'token = "{hexa}"', f'key = "{hexa}"', hexa, num(1) + "." + num(1), f"v{num(1)}.{num(1)}.{num(2)}", f"20{num(2)}-0{num(1)}-1{num(1)}", f"{num(2)}:{num(2)}:{num(2)}", f"${num(1)},{num(3)}.{num(2)}", num(int(rng.integers(1, 7))) + pick(".", "", "%"), f"{num(4)}, {num(4)}", num(24), f"{num(1)}. {word()} {num(1)}. {word()}", f"@{word()}", f"{word()} at {word()}. {word().capitalize()}", f"{num(3)}.{num(3)}.{num(3)}"), -1
 
 
 def examples(texts: list[str], n: int = 6000, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:

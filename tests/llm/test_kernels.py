@@ -85,6 +85,23 @@ def test_pii_model():
     assert sum(hi - lo for lo, hi in pii.stretches(text)) < 400
 
 
+def test_every_plausible_address_has_a_trigger():
+    ats = ["@", " @ ", " at ", " AT ", "(at)", " [ at ] ", "{At}", "<at>"]
+    dots = [".", " . ", " dot ", " DOT ", "(dot)", " [dot] ", "{ dot }", "<Dot>"]
+    for host in ("example", "a-very-long-host-name-" * 5 + "x"):
+        for at in ats:
+            for dot in dots:
+                span = f"john{at}{host}{dot}mail{dot}org"
+                text = f"{'word ' * 60}{span}{' word' * 60}"
+                assert pii.plausible(0, span) and pii._TRIGGER.search(span), span
+                assert pii.merged(text, [], [(300, 0, 300 + len(span))]) == [(300, 0, 300 + len(span))] or "@" in at
+                if at in (" at ", " AT "):
+                    assert any(lo <= 300 and 300 + len(span) <= hi for lo, hi in pii.stretches(text)), span
+    rng = np.random.default_rng(1)
+    made = [text for text, kind in (pii.invent(rng) for _ in range(4000)) if kind == 0]
+    assert any(re.search(r" at [a-z0-9-]+\.[a-z]", t) for t in made) and any(re.search(r" at .*\(dot\)", t) for t in made)
+
+
 def test_luhn():
     assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
 
