@@ -129,7 +129,7 @@ def bootstrap_ci_hash(spark, sf):
 
 def bootstrap_ci_mt(spark, sf):
     rows = _answers(spark, sf).select(F.lit("f1").alias("metric"), "doc_id", metrics.token_f1(F.col("prediction"), F.col("golds")).alias("f1"))
-    return metrics.bootstrap_mt(rows, "metric", "f1", "doc_id", 20260928, 200)
+    return metrics.bootstrap_mt(rows, "metric", "f1", "doc_id", 20260928)
 
 
 def guardrail_checks(spark, sf):

@@ -78,3 +78,16 @@ def test_year_and_urls(spark):
         one(spark, tx.year_of(F.col("a")), a="cs/0101")
     assert one(spark, tx.loopback(F.col("a")), a="http://localhost:11434") is True
     assert one(spark, tx.loopback(F.col("a")), a="http://user@localhost/") is False and one(spark, tx.loopback(F.col("a")), a="https://example.com") is False
+
+
+def test_bootstrap_ci_mt_resamples_ten_thousand_times(spark):
+    import random
+
+    from lodestrand.plans import scoring
+
+    sf = "/root/testdata/sf0.001"
+    x = [r.f1 for r in scoring._answers(spark, sf).select("doc_id", metrics.token_f1(F.col("prediction"), F.col("golds")).alias("f1")).orderBy("doc_id").collect()]
+    rng = random.Random(20260928)
+    means = sorted(sum(rng.choices(x, k=len(x))) / len(x) for _ in range(10_000))
+    row = scoring.bootstrap_ci_mt(spark, sf).first()
+    assert (row.lo, row.hi) == (means[249], means[9749])
