@@ -17,8 +17,8 @@ def exact_match(prediction: Column, golds: Column) -> Column:
 
 
 def pair_f1(prediction: Column, gold: Column) -> Column:
-    """Token F1 of normalised texts: both empty 1, one empty 0. Multiset overlap counts each distinct token's lesser
-    count."""
+    """Token F1 of normalised short texts: both empty 1, one empty 0. Multiset overlap counts each distinct token's lesser
+    count; ``token_f1_rows`` does the same for long ones."""
     parts = lambda x: F.filter(F.split(normalize_answer(x), " "), lambda w: w != "")
     p, g = parts(prediction), parts(gold)
     count = lambda xs, w: F.size(F.filter(xs, lambda v: v == w))
@@ -27,6 +27,20 @@ def pair_f1(prediction: Column, gold: Column) -> Column:
     return F.when((n == 0) & (m == 0), 1.0).when((n == 0) | (m == 0) | (common == 0), 0.0).otherwise(2.0 * common / (n + m))
 
 
+def token_f1_rows(df: DataFrame, key: str, prediction: str, golds: str) -> DataFrame:
+    """(key, f1): the best token F1 over a row's golds, 0 without any, for texts of any length: tokens are counted and
+    joined, so that work is linear in them. Keys are distinct."""
+    tokens = lambda c: F.filter(F.split(normalize_answer(c), " "), lambda w: w != "")
+    p = df.select(key, tokens(prediction).alias("p"))
+    g = df.select(key, F.posexplode(golds).alias("g", "gold")).select(key, "g", tokens("gold").alias("q"))
+    have = p.select(key, F.explode("p").alias("w")).groupBy(key, "w").agg(F.count(F.lit(1)).alias("n"))
+    want = g.select(key, "g", F.explode("q").alias("w")).groupBy(key, "g", "w").agg(F.count(F.lit(1)).alias("m"))
+    shared = want.join(have, [key, "w"]).groupBy(key, "g").agg(F.sum(F.least("n", "m")).alias("c"))
+    sized = p.select(key, F.size("p").alias("n")).join(g.select(key, "g", F.size("q").alias("m")), key, "left").join(shared, [key, "g"], "left")
+    f1 = F.when(F.col("m").isNull(), 0.0).when((F.col("n") == 0) & (F.col("m") == 0), 1.0).otherwise(F.coalesce(2.0 * F.col("c") / (F.col("n") + F.col("m")), F.lit(0.0)))
+    return sized.groupBy(key).agg(F.max(f1).alias("f1"))
+
+
 def token_f1(prediction: Column, golds: Column) -> Column:
     return F.coalesce(F.array_max(F.transform(golds, lambda g: pair_f1(prediction, g))), F.lit(0.0))
 

@@ -45,6 +45,11 @@ def clean_text(x: Column | str) -> Column:
     return F.regexp_replace(out, r"^[ \t\n\r]+|[ \t\n\r]+$", "")
 
 
+def valid_text(x: Column | str) -> Column:
+    """Bytes that are no UTF-8, unpaired surrogates among them, become replacement characters."""
+    return F.make_valid_utf8(col(x))
+
+
 def document_text(title: Column | str, text: Column | str) -> Column:
     return F.trim(F.concat_ws("\n", F.coalesce(col(title), F.lit("")), F.coalesce(col(text), F.lit(""))))
 

@@ -6,7 +6,8 @@ claim nothing about a model's quality. State is one DataFrame keyed by question.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -53,6 +54,45 @@ def answer_context(evidence: DataFrame, top_k: int) -> DataFrame:
     return evidence.withColumn("place", F.row_number().over(order).cast("long")).where(F.col("place") <= min(2 * top_k, 5))
 
 
+def retrying(generate: Callable[[str, int], str], prompt: str, budget: int, factors: tuple[int, ...] = (1, 2, 4), closed: bool = True) -> dict:
+    """A JSON object from a generator that is given ``budget`` times 1, 2, 4, … output tokens until its text is one. When all
+    attempts fail the answer is withheld with the error (closed), or the error is raised."""
+    error = ""
+    for n, factor in enumerate(factors, 1):
+        try:
+            found = json.loads(generate(prompt, budget * factor))
+            if isinstance(found, dict):
+                return {**found, "attempts": n, "generation_error": None}
+            error = "no JSON object"
+        except ValueError as e:
+            error = f"malformed JSON: {e.__class__.__name__}"
+    if not closed:
+        raise ValueError(error)
+    return {"answer": "", "citation_ids": [], "abstained": True, "attempts": len(factors), "generation_error": error}
+
+
+def generated(questions: DataFrame, generate: Callable[[str, int], str], budget: int, factors: tuple[int, ...] = (1, 2, 4), closed: bool = True) -> DataFrame:
+    """(qid, answer, citation_ids, abstained, attempts, generation_error) for questions (qid, question) by a generator behind a
+    plain function; batches go through Arrow, one call at a time per task."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        for frame in batches:
+            rows = [retrying(generate, q, budget, factors, closed) for q in frame["question"]]
+            yield pd.DataFrame({"qid": frame["qid"], **{c: [r.get(c) for r in rows] for c in ("answer", "citation_ids", "abstained", "attempts", "generation_error")}})
+
+    kind = dict(questions.dtypes)["qid"]
+    return questions.select("qid", "question").mapInPandas(run, f"qid {kind}, answer string, citation_ids array<string>, abstained boolean, attempts long, generation_error string")
+
+
+def titled(answers: DataFrame, titles: DataFrame) -> DataFrame:
+    """(qid, pos, citation, title) of answers (qid, citation_ids) with the titles (qid, doc, title) of what was retrieved; empty
+    where a citation was not."""
+    cited = answers.select("qid", F.posexplode("citation_ids").alias("pos", "citation"))
+    return cited.join(titles.select("qid", F.col("doc").alias("citation"), "title"), ["qid", "citation"], "left").select("qid", "pos", "citation", F.coalesce("title", F.lit("")).alias("title"))
+
+
 def first_passage(context: DataFrame, docs: DataFrame) -> DataFrame:
     """Default answerer: the start of the best passage, citing it."""
     best = context.where("place = 1").join(docs, "doc")

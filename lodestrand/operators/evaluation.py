@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.metrics import low_rank
+from ..functions.metrics import bootstrap_hash
+from .relational import low_ranks, running
 
 
 def recall(rankings: DataFrame, gold: DataFrame, questions: DataFrame, k: int) -> DataFrame:
@@ -22,6 +23,52 @@ def by_hop(records: DataFrame, value: str) -> DataFrame:
     return records.rollup("hop_count").agg(F.count(F.lit(1)).alias("questions"), F.avg(value).alias("mean")).withColumnRenamed("hop_count", "hop")
 
 
+def by_hop_interval(records: DataFrame, value: str, key: str, seed: str, rounds: int = 10_000) -> DataFrame:
+    """by_hop with the 95 % interval of each mean, resampled over questions: (hop, questions, mean, lo, hi), overall as 0."""
+    both = records.select(F.explode(F.array(F.lit(0).cast("long"), F.col("hop_count").cast("long"))).alias("hop"), F.col(value).alias("_v"), F.col(key).alias("_k"))
+    means = both.groupBy("hop").agg(F.count(F.lit(1)).alias("questions"), F.avg("_v").alias("mean"))
+    return means.join(bootstrap_hash(both, "hop", "_v", "_k", seed, rounds), "hop")
+
+
+def report(by_variant: DataFrame, hops: list[int]) -> DataFrame:
+    """A row per variant (variant, hop, mean; hop 0 is overall) with a column for each hop in numeric order."""
+    return by_variant.groupBy("variant").pivot("hop", [0, *sorted(hops)]).agg(F.first("mean")).select("variant", F.col("0").alias("overall"), *(F.col(str(h)).alias(f"hop{h}") for h in sorted(hops)))
+
+
+def answerable(questions: DataFrame) -> DataFrame:
+    """The questions to measure: those that do not say that they are unanswerable."""
+    return questions.where(F.coalesce("is_answerable", F.lit(True)))
+
+
+def settled(answers: DataFrame) -> DataFrame:
+    """answers with a blank or withheld one made an abstention: empty text, no citation."""
+    gone = F.coalesce(F.col("abstained"), F.lit(False)) | (F.trim(F.coalesce(F.col("answer"), F.lit(""))) == "")
+    none = F.array().cast("array<string>")
+    return answers.select("*", gone.alias("_gone")).withColumns({"answer": F.when(F.col("_gone"), "").otherwise(F.col("answer")), "citation_ids": F.when(F.col("_gone"), none).otherwise(F.coalesce("citation_ids", none)), "abstained": F.col("_gone")}).drop("_gone")
+
+
+def hop_floor(text: str) -> tuple[int, float]:
+    """HOP=VALUE with a hop of at least 1 and a share of at most 1."""
+    hop, sign, value = text.partition("=")
+    if not sign or not hop.strip().isdigit() or int(hop) < 1:
+        raise ValueError(f"not HOP=VALUE: {text}")
+    share = float(value)
+    if not 0 <= share <= 1:
+        raise ValueError(f"a floor lies in [0, 1]: {text}")
+    return int(hop), share
+
+
+def pass_rate(checked: DataFrame) -> DataFrame:
+    """(total, passed, rate) of rows with a ``passed``."""
+    counts = checked.agg(F.count(F.lit(1)).alias("total"), F.count_if("passed").alias("passed"))
+    return counts.withColumn("rate", F.coalesce(F.try_divide("passed", "total"), F.lit(0.0)))
+
+
+def failing(checked: DataFrame, key: str) -> DataFrame:
+    """The keys of rows that did not pass."""
+    return checked.where(~F.col("passed")).select(key)
+
+
 def paired(left: DataFrame, right: DataFrame, value: str) -> DataFrame:
     """(qid, hop_count, delta) of two runs over the same questions; a question of one run only fails."""
     both = left.select("qid", "hop_count", F.col(value).alias("_a")).join(right.select("qid", F.col(value).alias("_b"), F.col("hop_count").alias("_h")), "qid", "full_outer")
@@ -31,10 +78,12 @@ def paired(left: DataFrame, right: DataFrame, value: str) -> DataFrame:
 
 def summary(records: DataFrame, means: list[str], group: str | None = None) -> DataFrame:
     """Counts, means, low-rank latency percentiles and the summed cost, null if any row has none."""
+    records = records if group else records.withColumn("_all", F.lit(0))
+    by = group or "_all"
     cost = F.when(F.count("estimated_cost_usd") == F.count(F.lit(1)), F.sum("estimated_cost_usd")).alias("cost")
-    latency = F.collect_list("latency_seconds")
-    aggs = [F.count(F.lit(1)).alias("question_count"), *(F.avg(F.col(m).cast("double")).alias(f"mean_{m}") for m in means), low_rank(latency, 0.5).alias("p50_latency"), low_rank(latency, 0.95).alias("p95_latency"), cost]
-    return (records.groupBy(group) if group else records).agg(*aggs)
+    aggs = [F.count(F.lit(1)).alias("question_count"), *(F.avg(F.col(m).cast("double")).alias(f"mean_{m}") for m in means), cost]
+    out = records.groupBy(by).agg(*aggs).join(low_ranks(records, by, "latency_seconds", {"p50_latency": 0.5, "p95_latency": 0.95}), by, "left")
+    return out if group else out.drop("_all")
 
 
 def abstention(records: DataFrame) -> DataFrame:
@@ -60,17 +109,16 @@ def threshold_sweep(scores: DataFrame) -> DataFrame:
     """(threshold, answerable_recall, unanswerable_rejection_rate, balanced_accuracy) over scores (score, positive).
 
     Every score is a candidate, and below all, just above the largest negative and above all. Counts at or above a
-    candidate are running sums over one sort of the distinct scores, not a comparison of all with all.
+    candidate are running sums over one range-partitioned sort of the distinct scores, not a comparison of all with all.
     """
     ends = scores.agg(F.min("score").alias("lo"), F.max("score").alias("hi"), F.max(F.when(~F.col("positive"), F.col("score"))).alias("neg"))
     extra = ends.select(F.explode(F.array(F.col("lo") - 1.0, F.col("neg") + 1e-9, F.col("hi") + 1.0)).alias("threshold"))
     per = scores.groupBy("score").agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("n"))
     every = per.select(F.col("score").alias("threshold"), "p", "n").unionByName(extra.select("threshold", F.lit(0).cast("long").alias("p"), F.lit(0).cast("long").alias("n")))
     every = every.groupBy("threshold").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
-    below = Window.orderBy("threshold").rowsBetween(Window.unboundedPreceding, -1)
     total = scores.agg(F.count_if("positive").alias("all_p"), F.count_if(~F.col("positive")).alias("all_n"))
-    counted = every.select("threshold", F.coalesce(F.sum("p").over(below), F.lit(0)).alias("pb"), F.coalesce(F.sum("n").over(below), F.lit(0)).alias("nb")).join(F.broadcast(total))
-    out = counted.select("threshold", ((F.col("all_p") - F.col("pb")) / F.col("all_p")).alias("answerable_recall"), (F.col("nb") / F.col("all_n")).alias("unanswerable_rejection_rate"))
+    counted = running(every, "threshold", ["p", "n"]).join(F.broadcast(total))
+    out = counted.select("threshold", ((F.col("all_p") - F.col("p_below")) / F.col("all_p")).alias("answerable_recall"), (F.col("n_below") / F.col("all_n")).alias("unanswerable_rejection_rate"))
     return out.withColumn("balanced_accuracy", (F.col("answerable_recall") + F.col("unanswerable_rejection_rate")) / 2)
 
 
@@ -82,8 +130,7 @@ def best_threshold(sweep: DataFrame) -> DataFrame:
 def rank_auc(scores: DataFrame) -> DataFrame:
     """(auc): the chance that a positive outscores a negative, ties half, from counts per distinct score."""
     per = scores.groupBy("score").agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    won = per.select((F.col("p") * (below + F.col("n") / 2.0)).alias("won"), "p", "n")
+    won = running(per, "score", ["n"]).select((F.col("p") * (F.col("n_below") + F.col("n") / 2.0)).alias("won"), "p", "n")
     return won.agg((F.sum("won") / (F.sum("p") * F.sum("n"))).alias("auc"))
 
 
@@ -114,17 +161,17 @@ def question_errors(questions: DataFrame, passages: DataFrame) -> DataFrame:
     supporting_passage_ids, review_status)."""
     support = F.coalesce("supporting_passage_ids", F.array().cast("array<string>"))
     gold = F.coalesce("gold_answers", F.array().cast("array<string>"))
-    answerable = F.coalesce("is_answerable", F.lit(False))
+    asked = F.coalesce("is_answerable", F.lit(False))
     rules = F.array_compact(F.array(
         F.when(F.trim(F.coalesce("question", F.lit(""))) == "", F.lit("empty question")),
         F.when(~F.coalesce(F.col("hop_count").isin(1, 2, 3), F.lit(False)), F.lit("hop count")),
-        F.when(answerable & (F.size(gold) == 0), F.lit("no gold answer")),
-        F.when(answerable & (F.size(support) == 0), F.lit("no support")),
-        F.when(~answerable & ((F.size(gold) > 0) | (F.size(support) > 0)), F.lit("unanswerable with support")),
+        F.when(asked & (F.size(gold) == 0), F.lit("no gold answer")),
+        F.when(asked & (F.size(support) == 0), F.lit("no support")),
+        F.when(~asked & ((F.size(gold) > 0) | (F.size(support) > 0)), F.lit("unanswerable with support")),
         F.when(~F.coalesce(F.col("review_status").isin("pending", "verified", "rejected"), F.lit(False)), F.lit("review status")),
     ))
     own = questions.select("id", F.explode(rules).alias("rule"))
-    linked = questions.where(answerable).select("id", F.explode(support).alias("passage"))
+    linked = questions.where(asked).select("id", F.explode(support).alias("passage"))
     unknown = linked.join(passages.select(F.col("id").alias("passage")), "passage", "left_anti").select("id", F.lit("unknown support").alias("rule")).distinct()
     twice = questions.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id", F.lit("repeated id").alias("rule"))
     return own.unionByName(unknown).unionByName(twice)

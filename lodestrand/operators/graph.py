@@ -2,7 +2,8 @@
 
 A queue that admits neighbours in the order (predicate, neighbour, edge) under a cap is the same as whole levels ordered by
 (parent's position, predicate, neighbour, edge): the cap only cuts the admission sequence. Hops are few, so the loop over
-levels is on the driver; every level is one join of the frontier with the adjacency, written to the checkpoint folder.
+levels is on the driver; every level is one join of the frontier with the adjacency, written to the checkpoint folder, so
+that the next one neither repeats it nor the search for seeds.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import cut
 from .ranking import check
 
 
@@ -28,7 +30,7 @@ def expand(seeds: DataFrame, adjacent: DataFrame, hops: int = 2, max_nodes: int
     """
     check(hops >= 0, "hops must be at least 0")
     check(max_nodes >= 1, "max_nodes must be at least 1")
-    visited = seeds.where(F.col("rank") <= max_nodes).select("qid", F.col("doc").alias("v"), F.lit(0).alias("depth"), "score", F.col("rank").alias("pos"))
+    visited = cut(seeds.where(F.col("rank") <= max_nodes)).select("qid", F.col("doc").alias("v"), F.lit(0).alias("depth"), "score", F.col("rank").alias("pos"))
     frontier = visited
     for depth in range(1, hops + 1):
         step = frontier.join(adjacent, "v").withColumn("next", F.col("score") * F.col("conf") * 0.5).where("next > 0")
@@ -39,10 +41,8 @@ def expand(seeds: DataFrame, adjacent: DataFrame, hops: int = 2, max_nodes: int
         ranked = first.select("qid", "f.*").withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy(*order)))
         new = ranked.join(taken, "qid").withColumn("at", F.col("taken") + F.col("n")).where(F.col("at") <= max_nodes)
         frontier = new.select("qid", F.col("u").alias("v"), F.lit(depth).alias("depth"), F.col("next").alias("score"), F.col("at").cast("long").alias("pos"))
+        frontier = cut(frontier)
         visited = visited.unionByName(frontier)
-        if depth < hops and frontier.sparkSession.sparkContext.getCheckpointDir():
-            visited = visited.checkpoint()
-            frontier = visited.where(F.col("depth") == depth)
     return visited
 
 

@@ -60,6 +60,33 @@ def resolved(triples: DataFrame, entities: DataFrame) -> DataFrame:
     return out.drop("_s", "_o").withColumn("mention_id", mention_id(F.col("chunk_id").cast("string"), F.col("subject_id"), F.col("predicate"), F.col("object_id")))
 
 
+def accepted(triples: DataFrame) -> DataFrame:
+    """The triples, all of which must obey the rules of ``judged``: the first that doesn't fails."""
+    bad = F.raise_error(F.concat(F.lit("invalid triple "), F.concat_ws(" ", F.col("subject_id"), F.col("predicate"), F.col("object_id")))).cast("boolean")
+    return judged(triples).where(F.when(F.col("accepted"), F.lit(True)).otherwise(bad)).drop("accepted")
+
+
+def extraction_records(papers: DataFrame, entities: DataFrame, triples: DataFrame, default_confidence: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(entities, triples) of extracted chunks. The source paper (papers: chunk_id, paper_id, title) comes first among a
+    chunk's entities, with its id as alias; names are normalised and ends resolved within the chunk; triples with an
+    unresolved end go. A missing confidence is 0, or stays null, which ``judged`` rejects."""
+    source = papers.select("chunk_id", F.lit(-1).alias("pos"), F.lit("Paper").alias("kind"), F.col("title").alias("name"), F.array("paper_id").alias("aliases"))
+    found = normalized_entities(source.unionByName(entities.select("chunk_id", F.col("pos").cast("int").alias("pos"), "kind", "name", "aliases")))
+    ends = resolved(triples, found).where("subject_id is not null and object_id is not null")
+    confidence = F.col("confidence").cast("double")
+    return found, ends.withColumn("confidence", F.coalesce(confidence, F.lit(0.0)) if default_confidence else confidence)
+
+
+def audit_rows(cache: DataFrame, passages: DataFrame, entities: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, skipped): cached triples (chunk_id, subject_id, predicate, object_id) beside their passage and the names and kinds of
+    their ends within the chunk, UNKNOWN where there is none; those without a passage are skipped."""
+    rows = cache.join(passages.select("chunk_id", "text"), "chunk_id", "left")
+    for end in ("subject", "object"):
+        own = entities.select("chunk_id", F.col("id").alias(f"{end}_id"), F.col("name").alias(end), F.col("kind").alias(f"{end}_kind"))
+        rows = rows.join(own, ["chunk_id", f"{end}_id"], "left").withColumns({c: F.coalesce(c, F.lit("UNKNOWN")) for c in (end, f"{end}_kind")})
+    return rows.where("text is not null"), rows.where("text is null").select("chunk_id").distinct()
+
+
 def nodes(mentions: DataFrame) -> DataFrame:
     """Entities over all chunks from mentions (id, kind, name, aliases, chunk_id, paper_id, seq): the first name, the
     union of the rest. An id of two kinds fails."""
@@ -69,11 +96,12 @@ def nodes(mentions: DataFrame) -> DataFrame:
     return flat.groupBy("id").agg(kind.alias("kind"), F.min_by("name", "seq").alias("name"), union("alias").alias("aliases"), union("chunk_id").alias("source_chunk_ids"), union("paper_id").alias("paper_ids"))
 
 
-def edge_evidence(triples: DataFrame, confidence: Column) -> DataFrame:
-    """(edge_id, subject_id, predicate, object_id, chunk_id, paper_id, confidence): one row per edge and chunk. confidence is the
-    aggregate that decides between repeated ones."""
+def edge_evidence(triples: DataFrame, seq: Column) -> DataFrame:
+    """(edge_id, subject_id, predicate, object_id, chunk_id, paper_id, confidence): one row per edge and chunk, of repeated
+    ones the last in the order of seq."""
     keyed = triples.withColumn("edge_id", edge_id(F.col("subject_id"), F.col("predicate"), F.col("object_id")))
-    return keyed.groupBy("edge_id", "subject_id", "predicate", "object_id", "chunk_id").agg(F.min("paper_id").alias("paper_id"), confidence.alias("confidence"))
+    last = F.max_by(F.struct("paper_id", "confidence"), seq).alias("_last")
+    return keyed.groupBy("edge_id", "subject_id", "predicate", "object_id", "chunk_id").agg(last).select("edge_id", "subject_id", "predicate", "object_id", "chunk_id", "_last.paper_id", "_last.confidence")
 
 
 def edges(evidence: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import terms
+from . import vectors as blocks
 
 
 def check(ok: bool, message: str) -> None:
@@ -64,11 +65,10 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def dense(vectors: DataFrame, doc: str, vector: str, queries: DataFrame, qid: str, query: str, k: int) -> DataFrame:
-    """The k nearest vectors of each query by cosine; no threshold. Queries are a stated batch that meets all rows; Spark
-    broadcasts it while it is below its threshold and streams blocks of it else."""
+    """The k nearest vectors of each query by cosine; no threshold. Queries are a stated batch that meets all rows in
+    blocks; vectors of another length than the query's are not near it."""
     check(k >= 1, "top_k must be at least 1")
-    pairs = vectors.select(F.col(doc).alias("doc"), F.col(vector).alias("v")).join(queries.select(F.col(qid).alias("qid"), F.col(query).alias("q")))
-    return best(pairs.select("qid", "doc", cosine(F.col("q"), F.col("v")).alias("score")), k)
+    return best(blocks.nearest(vectors, doc, vector, queries, qid, query, k), k)
 
 
 def fuse(rankings: list[DataFrame], k: int = 60, doc: str = "doc") -> DataFrame:
@@ -84,12 +84,12 @@ def fuse(rankings: list[DataFrame], k: int = 60, doc: str = "doc") -> DataFrame:
 
 def neighbour_pairs(entities: DataFrame, entity: str, kind: str, vector: str, k: int, threshold: float) -> DataFrame:
     """(a, b, similarity): pairs of one kind where either is among the other's k nearest and the cosine reaches the
-    threshold. Kinds are joined to themselves; the row limit per entity applies before pairs are shuffled on."""
+    threshold. All entities of a kind meet in blocks, as exact neighbours ask for; a hot kind is dealt over many tasks, and
+    only the best of each pair of blocks is shuffled on."""
     check(k >= 1, "neighbour count must be at least 1")
     check(0 <= threshold <= 1, "threshold must lie in [0, 1]")
-    e = entities.select(F.col(entity).alias("qid"), F.col(kind).alias("kind"), F.col(vector).alias("q"))
-    o = entities.select(F.col(entity).alias("doc"), F.col(kind).alias("kind"), F.col(vector).alias("v"))
-    near = best(e.join(o, "kind").where("qid <> doc").select("qid", "doc", cosine(F.col("q"), F.col("v")).alias("score")), k)
+    near = blocks.nearest(entities, entity, vector, entities, entity, vector, k + 1, kind)  # one place is the entity's own
+    near = best(near.where("qid <> doc"), k)
     near = near.where(F.round("score", 9) >= threshold)
     return near.groupBy(F.least("qid", "doc").alias("a"), F.greatest("qid", "doc").alias("b")).agg(F.max("score").alias("similarity"))
 

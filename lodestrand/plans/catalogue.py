@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import corpus, knowledge, retrieval, scoring
+from . import corpus, knowledge, records, retrieval, scoring
 
-MODULES = (corpus, retrieval, knowledge, scoring)
+MODULES = (corpus, retrieval, knowledge, scoring, records)
 
 
 def queries() -> dict:

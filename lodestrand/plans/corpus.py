@@ -148,9 +148,9 @@ def corpus_audit_pivot(spark, sf):
 
 
 def evidence_resolution(spark, sf):
-    refs = load(spark, sf, "conversations", "conv_id", "turn", "role").where("role = 'user'").select("conv_id", F.col("turn").alias("page"), F.lit(0).alias("page_chunk_index"))
+    refs = load(spark, sf, "conversations", "conv_id", "turn", "role", "text").where((F.col("role") == "user") & (F.size(tx.words("text")) > 0)).select("conv_id", F.col("turn").alias("page"), F.lit(0).alias("page_chunk_index"))
     p = chunking.passages(load(spark, sf, "conversations", "conv_id", "turn", "text"), "conv_id", "turn", "text", 40, 8)
-    j = refs.join(p.select("conv_id", F.col("turn").alias("page"), F.col("page_chunk_index").cast("int").alias("page_chunk_index"), "id"), ["conv_id", "page", "page_chunk_index"])
+    j = relational.must_join(refs, p.select("conv_id", F.col("turn").alias("page"), F.col("page_chunk_index").cast("int").alias("page_chunk_index"), "id"), ["conv_id", "page", "page_chunk_index"], "evidence without a passage")
     listed = F.transform(F.array_sort(F.collect_list(F.struct("page", "id"))), lambda x: x["id"])
     return j.groupBy("conv_id").agg(F.count(F.lit(1)).alias("refs"), F.array_join(F.array_distinct(listed), ",").alias("ids"))
 
@@ -169,8 +169,8 @@ def exclude_prior(spark, sf):
 def corpus_dedup_supports(spark, sf):
     d = load(spark, sf, "documents", "doc_id", "source", "text").join(load(spark, sf, "labels", "doc_id", "quality"), "doc_id", "left")
     d = d.withColumn("id", tx.paragraph_id(F.coalesce("source", F.lit("")), F.coalesce("text", F.lit(""))))
-    ids = F.array_join(F.array_sort(F.collect_set(F.when(F.col("quality") == 1, F.col("doc_id").cast("string")))), ",")
-    return d.groupBy("id").agg(F.min("doc_id").alias("doc_id"), ids.alias("supporting_for"))
+    good = F.when(F.col("quality") == 1, F.col("doc_id"))
+    return d.groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.count_if(F.col("quality") == 1).alias("n_supporting"), F.min(good).alias("first_supporting"), F.max(good).alias("last_supporting"))
 
 
 def _questions(spark, sf):
@@ -225,7 +225,7 @@ SQL = {
     "evidence_resolution": f"WITH p AS (SELECT *, {PASSAGE_ID} AS id FROM ({PASSAGES})), r AS (SELECT conv_id, turn FROM conversations WHERE role = 'user') SELECT conv_id, count(*) AS refs, array_to_string(list(id ORDER BY turn, id), ',') AS ids FROM r JOIN p USING (conv_id, turn) WHERE page_chunk_index = 0 GROUP BY conv_id",
     "inventory_semi_join": "SELECT doc_id, source, n_chars FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)",
     "exclude_prior": "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)",
-    "corpus_dedup_supports": "SELECT 'para_' || substr(sha256(coalesce(source, '') || chr(10) || coalesce(text, '')), 1, 20) AS id, min(doc_id) AS doc_id, coalesce(array_to_string(list_sort(list_distinct(list(CAST(doc_id AS VARCHAR)) FILTER (quality = 1))), ','), '') AS supporting_for FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1",
+    "corpus_dedup_supports": "SELECT 'para_' || substr(sha256(coalesce(source, '') || chr(10) || coalesce(text, '')), 1, 20) AS id, min(doc_id) AS doc_id, count(*) FILTER (quality = 1) AS n_supporting, min(doc_id) FILTER (quality = 1) AS first_supporting, max(doc_id) FILTER (quality = 1) AS last_supporting FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1",
     "question_validator": """WITH q AS (SELECT CAST(item_id AS VARCHAR) AS id, item_id AS n FROM benchmark),
   e AS (SELECT id, 'empty question' AS rule FROM q WHERE n % 11 = 0 UNION ALL SELECT id, 'hop count' FROM q WHERE n % 7 = 0
   UNION ALL SELECT id, 'no gold answer' FROM q WHERE n % 5 <> 0 AND n % 3 = 0 UNION ALL SELECT id, 'no support' FROM q WHERE n % 5 <> 0 AND n % 4 = 0

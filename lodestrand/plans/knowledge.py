@@ -13,7 +13,7 @@ from ..functions import text as tx
 from ..operators import knowledge, ranking, relational
 from ..sources import files
 from .corpus import NORM, TOK, load
-from .retrieval import EVIDENCE, _edges, _evidence, _nodes
+from .retrieval import EDGE, EVIDENCE, _edges, _evidence, _nodes
 from .retrieval import SQL as RSQL
 
 
@@ -56,9 +56,9 @@ def consolidate_nodes(spark, sf):
 
 
 def _edge_evidence(spark, sf):
-    line = load(spark, sf, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_discount").join(load(spark, sf, "part", "p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
-    t = line.select(tx.entity_id(F.lit("Method"), F.col("p_name")).alias("subject_id"), F.lit("EVALUATES_ON").alias("predicate"), F.concat(F.lit("d"), F.col("l_suppkey").cast("string")).alias("object_id"), F.col("l_orderkey").cast("string").alias("chunk_id"), F.lit("p").alias("paper_id"), F.round(1 - F.col("l_discount"), 4).alias("confidence"))
-    return knowledge.edge_evidence(t, F.max("confidence"))
+    line = load(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_discount").join(load(spark, sf, "part", "p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
+    t = line.select(tx.entity_id(F.lit("Method"), F.col("p_name")).alias("subject_id"), F.lit("EVALUATES_ON").alias("predicate"), F.concat(F.lit("d"), F.col("l_suppkey").cast("string")).alias("object_id"), F.col("l_orderkey").cast("string").alias("chunk_id"), F.lit("p").alias("paper_id"), F.round(1 - F.col("l_discount"), 4).alias("confidence"), "l_linenumber")
+    return knowledge.edge_evidence(t, F.struct("l_linenumber", "confidence"))
 
 
 def consolidate_edges(spark, sf):
@@ -106,7 +106,7 @@ def _pairs(spark, sf):
     key = lambda x: F.concat(F.lit("m"), x.cast("string"))
     k = F.col("p_partkey")
     decision = F.when(k % 4 == 0, " merge ").when(k % 4 == 1, "KEEP_SEPARATE").when(k % 4 == 2, "uncertain").otherwise("UNREVIEWED")
-    return p.where(k < 2000).select(k.alias("seq"), key(k).alias("entity_id_a"), key(k + 1).alias("entity_id_b"), decision.alias("decision"), F.when(k % 4 == 0, key(k + 1)).alias("canonical_entity_id"))
+    return p.select(k.alias("seq"), key(k).alias("entity_id_a"), key(k + 1).alias("entity_id_b"), decision.alias("decision"), F.when(k % 4 == 0, key(k + 1)).alias("canonical_entity_id"))
 
 
 def _provenance(spark, sf):
@@ -150,7 +150,8 @@ def loader_batch_counts(spark, sf):
 
 def triple_audit_sample(spark, sf):
     e = _evidence(spark, sf).withColumn("audit_id", tx.audit_id(F.col("edge_id"), F.col("chunk_id").cast("string")))
-    j = e.join(_nodes(spark, sf).select(F.col("id").alias("subject_id"), F.col("name").alias("subject")), "subject_id").join(_nodes(spark, sf).select(F.col("id").alias("object_id"), F.col("name").alias("object")), "object_id")
+    j = relational.must_join(e, _nodes(spark, sf).select(F.col("id").alias("subject_id"), F.col("name").alias("subject")), ["subject_id"], "an edge without its subject")
+    j = relational.must_join(j, _nodes(spark, sf).select(F.col("id").alias("object_id"), F.col("name").alias("object")), ["object_id"], "an edge without its object")
     return relational.hash_sample(j.select("audit_id", "subject", "predicate", "object", "chunk_id", "confidence"), "audit_id", 50, "audit")
 
 
@@ -185,15 +186,15 @@ QUERIES = {f.__name__: f for f in (ontology_accept_reject, predicate_histogram,
 
 EID = f"'method_' || substr(sha256('Method:' || {NORM.format('p_name')}), 1, 20)"
 LINE = f"SELECT *, {EID} AS id FROM lineitem JOIN part ON l_partkey = p_partkey"
-EDGE_EV = f"SELECT 'edge_' || substr(sha256(s || chr(10) || 'EVALUATES_ON' || chr(10) || o), 1, 20) AS edge_id, s, o, chunk, max(conf) AS conf FROM (SELECT id AS s, 'd' || l_suppkey AS o, CAST(l_orderkey AS VARCHAR) AS chunk, round(1 - l_discount, 4) AS conf FROM ({LINE})) GROUP BY ALL"
+EDGE_EV = f"SELECT 'edge_' || substr(sha256(s || chr(10) || 'EVALUATES_ON' || chr(10) || o), 1, 20) AS edge_id, s, o, chunk, max_by(conf, (ln, conf)) AS conf FROM (SELECT id AS s, 'd' || l_suppkey AS o, CAST(l_orderkey AS VARCHAR) AS chunk, l_linenumber AS ln, round(1 - l_discount, 4) AS conf FROM ({LINE})) GROUP BY ALL"
 NODE = "SELECT 'm' || p_partkey AS id, 'Method' AS kind, p_name AS name, [p_brand, p_type] AS aliases FROM part UNION ALL SELECT 'd' || s_suppkey, 'Dataset', s_name, [] FROM supplier"
 ALIAS = f"SELECT kind, {NORM.format('a')} AS normalized_alias, list_sort(list(DISTINCT id)) AS ids FROM (SELECT kind, id, unnest(list_concat([name], aliases)) AS a FROM ({NODE})) GROUP BY ALL HAVING normalized_alias <> ''"
-MAPPING = "SELECT e, max_by(c, (k, side)) AS c FROM (SELECT k, unnest([0, 1]) AS side, unnest(['m' || k, 'm' || (k + 1)]) AS e, 'm' || (k + 1) AS c FROM (SELECT p_partkey AS k FROM part WHERE p_partkey < 2000 AND p_partkey % 4 = 0)) GROUP BY 1"
+MAPPING = "SELECT e, max_by(c, (k, side)) AS c FROM (SELECT k, unnest([0, 1]) AS side, unnest(['m' || k, 'm' || (k + 1)]) AS e, 'm' || (k + 1) AS c FROM (SELECT p_partkey AS k FROM part WHERE p_partkey % 4 = 0)) GROUP BY 1"
 MERGED = f"""mp AS MATERIALIZED ({MAPPING}), nd AS MATERIALIZED (SELECT *, ['c' || id] AS chunks FROM ({NODE})),
   gr AS (SELECT coalesce(mp.c, nd.id) AS cid, nd.* FROM nd LEFT JOIN mp ON mp.e = nd.id),
   mg AS MATERIALIZED (SELECT n.id, n.kind, n.name, g.aliases, g.chunks FROM (SELECT cid, list_sort(list_distinct(flatten(list(aliases)))) AS aliases, list_sort(list_distinct(flatten(list(chunks)))) AS chunks FROM (SELECT cid, aliases, chunks FROM gr UNION ALL SELECT id, aliases, chunks FROM nd WHERE id IN (SELECT c FROM mp)) WHERE cid IN (SELECT c FROM mp) GROUP BY cid) g JOIN nd n ON n.id = g.cid
   UNION ALL SELECT id, kind, name, aliases, chunks FROM nd WHERE id NOT IN (SELECT c FROM mp) AND id NOT IN (SELECT e FROM mp))"""
-REMAP = f"SELECT s || '-' || o AS edge_id, coalesce(a.c, s) AS subject_id, coalesce(b.c, o) AS object_id, conf AS confidence FROM (SELECT s, o, max(conf) AS conf FROM ({EVIDENCE}) GROUP BY ALL) LEFT JOIN ({MAPPING}) a ON a.e = s LEFT JOIN ({MAPPING}) b ON b.e = o"
+REMAP = f"SELECT {EDGE} AS edge_id, coalesce(a.c, s) AS subject_id, coalesce(b.c, o) AS object_id, conf AS confidence FROM (SELECT s, p, o, max(conf) AS conf FROM ({EVIDENCE}) GROUP BY ALL) LEFT JOIN ({MAPPING}) a ON a.e = s LEFT JOIN ({MAPPING}) b ON b.e = o"
 W = "(p + 1.959963984540054 * 1.959963984540054 / (2 * n)) / (1 + 1.959963984540054 * 1.959963984540054 / n)"
 H = "1.959963984540054 * sqrt(p * (1 - p) / n + 1.959963984540054 * 1.959963984540054 / (4.0 * n * n)) / (1 + 1.959963984540054 * 1.959963984540054 / n)"
 _S, _O = r"'\Q' || s || '\E'", r"'\Q' || o || '\E'"
@@ -222,10 +223,10 @@ SQL = {
     "apply_merges": f"WITH {MERGED} SELECT id, kind, name, coalesce(array_to_string(aliases, '|'), '') AS aliases, array_to_string(chunks, '|') AS chunks FROM mg",
     "remap_edges": REMAP,
     "resolution_verification": f"WITH {MERGED}, re AS MATERIALIZED ({REMAP}) SELECT (SELECT count(*) FROM nd) AS nodes_before, (SELECT count(*) FROM mg) AS nodes_after, (SELECT count(*) FROM (SELECT subject_id AS i FROM re UNION SELECT object_id FROM re) WHERE i NOT IN (SELECT id FROM mg)) AS orphaned, (SELECT count(*) FROM (SELECT unnest(chunks) AS c FROM nd) WHERE c NOT IN (SELECT unnest(chunks) FROM mg)) AS lost",
-    "decision_counts": "SELECT CAST(count_if(k % 4 = 0) AS BIGINT) AS merge, CAST(count_if(k % 4 = 1) AS BIGINT) AS keep_separate, CAST(count_if(k % 4 = 2) AS BIGINT) AS uncertain, CAST(count_if(k % 4 = 3) AS BIGINT) AS unreviewed FROM (SELECT p_partkey AS k FROM part WHERE p_partkey < 2000)",
+    "decision_counts": "SELECT CAST(count_if(k % 4 = 0) AS BIGINT) AS merge, CAST(count_if(k % 4 = 1) AS BIGINT) AS keep_separate, CAST(count_if(k % 4 = 2) AS BIGINT) AS uncertain, CAST(count_if(k % 4 = 3) AS BIGINT) AS unreviewed FROM (SELECT p_partkey AS k FROM part)",
     "endpoint_integrity": "SELECT DISTINCT 'd' || l_suppkey AS missing FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 10 <> 0)",
-    "loader_batch_counts": f"WITH ev AS ({EVIDENCE}), c AS (SELECT 'nodes' AS relation, count(*) AS rows FROM ({NODE}) UNION ALL SELECT 'edges', count(*) FROM (SELECT DISTINCT s, o FROM ev) UNION ALL SELECT 'evidence', count(*) FROM ev) SELECT relation, rows, CAST(ceil(rows / 500.0) AS BIGINT) AS batches FROM c",
-    "triple_audit_sample": f"WITH e AS (SELECT 'audit_' || substr(sha256(s || '-' || o || ':' || chunk), 1, 20) AS audit_id, * FROM ({EVIDENCE})) SELECT audit_id, p_name AS subject, 'EVALUATES_ON' AS predicate, s_name AS object, chunk AS chunk_id, conf AS confidence FROM e JOIN part ON s = 'm' || p_partkey JOIN supplier ON o = 'd' || s_suppkey ORDER BY sha256('audit:' || audit_id), audit_id LIMIT 50",
+    "loader_batch_counts": f"WITH ev AS ({EVIDENCE}), c AS (SELECT 'nodes' AS relation, count(*) AS rows FROM ({NODE}) UNION ALL SELECT 'edges', count(*) FROM (SELECT DISTINCT s, p, o FROM ev) UNION ALL SELECT 'evidence', count(*) FROM ev) SELECT relation, rows, CAST(ceil(rows / 500.0) AS BIGINT) AS batches FROM c",
+    "triple_audit_sample": f"WITH e AS (SELECT 'audit_' || substr(sha256({EDGE} || ':' || chunk), 1, 20) AS audit_id, * FROM ({EVIDENCE})) SELECT audit_id, p_name AS subject, p AS predicate, s_name AS object, chunk AS chunk_id, conf AS confidence FROM e JOIN part ON s = 'm' || p_partkey JOIN supplier ON o = 'd' || s_suppkey ORDER BY sha256('audit:' || audit_id), audit_id LIMIT 50",
     "wilson_accuracy": f"SELECT toxic, n, correct, round(p, 6) AS accuracy, round(greatest(0, {W} - {H}), 6) AS lo, round(least(1, {W} + {H}), 6) AS hi FROM (SELECT toxic, count(*) AS n, CAST(count_if(quality = 1) AS BIGINT) AS correct, count_if(quality = 1) / count(*)::DOUBLE AS p FROM labels GROUP BY 1)",
     "label_transfer": "SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'unreviewed' WHEN d.doc_id % 3 <> 0 AND quality = 1 THEN 'true' ELSE 'false' END AS label FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id",
     "audit_progress": "SELECT lang, count(quality) AS labelled, CAST(count_if(quality = 1) AS BIGINT) AS right, CAST(count_if(quality = 0) AS BIGINT) AS wrong, CAST(count_if(quality IS NULL) AS BIGINT) AS remaining FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang".replace("AS right", 'AS "right"'),

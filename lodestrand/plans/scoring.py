@@ -1,7 +1,7 @@
 """Registered queries over answers, abstention, gates, resampling, the agent loop, caches and request streams.
 
-Answers are the first sentences of documents against benchmark texts, scores those of the lexical query; a benchmark item with
-a document that contains it is answerable.
+Answers are whole assistant turns, gold answers the whole user turns next to them; scores are those of the lexical query; a
+benchmark item with a document that contains it is answerable.
 """
 
 from __future__ import annotations
@@ -11,19 +11,22 @@ from pyspark.sql import functions as F
 from ..functions import metrics
 from ..functions import text as tx
 from ..operators import agent, evaluation, ranking, relational
+from ..storage import cut
 from ..streaming import requests
 from .corpus import TOK, _questions, load
-from .retrieval import DOCS, GOLD, QUESTIONS, RECALL, SHORT_Q, _lexical, bm25_sql, gold_pairs
+from .retrieval import CHUNK_ROWS, DENSE, DOCS, GOLD, NAMES, ORDERS, POISSON, QUESTIONS, RECALL, SHORT_Q, TOP, _expanded, _lexical, _name_vectors, _names, _order_texts, _order_vectors, _seeds, bm25_sql, expand_sql, gold_pairs, interval_sql
 
 
 def _answers(spark, sf):
-    """A predicted answer per document: its first ten words, against every third word onward of the same text's start."""
-    d = load(spark, sf, "documents", "doc_id", "text").withColumn("w", tx.words("text"))
-    gold = F.array(F.array_join(F.slice("w", 4, F.lit(10)), " "), F.array_join(F.slice("w", 1, F.lit(3)), " "))
-    return d.select("doc_id", F.array_join(F.slice("w", 1, F.lit(10)), " ").alias("prediction"), gold.alias("golds"))
+    """(id, conv_id, prediction, golds): assistant turns against the user's turns before and behind them."""
+    turns = load(spark, sf, "conversations", "conv_id", "turn", "role", "text").groupBy("conv_id", "turn", "role").agg(F.max("text").alias("text"))
+    asked = turns.where("role = 'user'")
+    near = [asked.select("conv_id", (F.col("turn") + step).alias("turn"), F.col("text").alias(name)) for step, name in ((1, "before"), (-1, "behind"))]
+    out = turns.where("role = 'assistant'").join(near[0], ["conv_id", "turn"], "left").join(near[1], ["conv_id", "turn"], "left")
+    return out.select(F.concat_ws(":", "conv_id", "turn").alias("id"), "conv_id", F.col("text").alias("prediction"), F.array_compact(F.array("before", "behind")).alias("golds"))
 
 
-ANSWERS = "SELECT doc_id, array_to_string(w[1:10], ' ') AS prediction, [array_to_string(w[4:13], ' '), array_to_string(w[1:3], ' ')] AS golds FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '\\S+') AS w FROM documents)"
+ANSWERS = "WITH t AS (SELECT conv_id, turn, role, max(text) AS text FROM conversations GROUP BY ALL), u AS (SELECT * FROM t WHERE role = 'user') SELECT t.conv_id || ':' || t.turn AS id, t.conv_id AS conv_id, t.text AS prediction, list_filter([b.text, c.text], lambda x: x IS NOT NULL) AS golds FROM t LEFT JOIN u b ON b.conv_id = t.conv_id AND b.turn = t.turn - 1 LEFT JOIN u c ON c.conv_id = t.conv_id AND c.turn = t.turn + 1 WHERE t.role = 'assistant'"
 
 
 def _norm(x):
@@ -32,12 +35,21 @@ def _norm(x):
 
 def exact_match(spark, sf):
     a = _answers(spark, sf)
-    short = F.concat(F.lit("The "), F.upper(F.element_at("golds", 2)), F.lit("!"))
-    return a.select("doc_id", metrics.exact_match(short, F.col("golds")).alias("em"), metrics.exact_match(F.col("prediction"), F.col("golds")).alias("em_long"))
+    loud = F.concat(F.lit("The "), F.element_at("golds", -1), F.lit("!"))
+    return a.where(F.size("golds") > 0).select("id", metrics.exact_match(loud, F.col("golds")).alias("em"), metrics.exact_match(F.col("prediction"), F.col("golds")).alias("em_own"))
 
 
 def token_f1(spark, sf):
-    return _answers(spark, sf).select("doc_id", F.round(metrics.token_f1(F.col("prediction"), F.col("golds")), 6).alias("f1"))
+    return metrics.token_f1_rows(_answers(spark, sf), "id", "prediction", "golds").select("id", F.round("f1", 6).alias("f1"))
+
+
+def answer_metrics(spark, sf):
+    """Per run of questions: how many, their mean F1 and its interval over 10,000 resamplings."""
+    a = _answers(spark, sf)
+    rows = metrics.token_f1_rows(a, "id", "prediction", "golds").join(a.select("id", (F.col("conv_id") % 4).alias("run")), "id").select("id", "run", F.round("f1", 9).alias("f1"))
+    rows = cut(rows)
+    means = rows.groupBy("run").agg(F.count(F.lit(1)).alias("question_count"), F.round(F.avg("f1"), 6).alias("mean_f1"))
+    return means.join(metrics.bootstrap_hash(rows, "run", "f1", "id", "20260928", 10_000), "run").select("run", "question_count", "mean_f1", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
 
 
 def _cited(spark, sf):
@@ -67,8 +79,8 @@ def answer_summary(spark, sf):
 
 
 def floor_percentiles(spark, sf):
-    e = load(spark, sf, "events", "user_id", "value").groupBy("user_id").agg(F.collect_list("value").alias("v"))
-    return e.select("user_id", *(F.round(metrics.low_rank(F.col("v"), q), 6).alias(n) for q, n in ((0.5, "p50"), (0.95, "p95"))))
+    r = relational.low_ranks(load(spark, sf, "events", "user_id", "value"), "user_id", "value", {"p50": 0.5, "p95": 0.95})
+    return r.select("user_id", *(F.round(c, 6).alias(c) for c in ("p50", "p95")))
 
 
 def _scores(spark, sf):
@@ -112,8 +124,9 @@ def _recalls(spark, sf):
 
 
 def paired_delta(spark, sf):
-    d = evaluation.paired(*_recalls(spark, sf), "recall")
-    return evaluation.by_hop(d, "delta").select(F.coalesce("hop", F.lit(0)).alias("hop"), "questions", F.round("mean", 6).alias("delta"))
+    d = cut(evaluation.paired(*_recalls(spark, sf), "recall"))
+    r = evaluation.by_hop_interval(d, "delta", "qid", "20261001")
+    return r.select("hop", "questions", *(F.round(a, 6).alias(b) for a, b in (("mean", "delta"), ("lo", "lo"), ("hi", "hi"))))
 
 
 def quality_gate(spark, sf):
@@ -123,21 +136,26 @@ def quality_gate(spark, sf):
 
 
 def bootstrap_ci_hash(spark, sf):
-    c = metrics.bootstrap_hash(load(spark, sf, "labels", "doc_id", "quality", "toxic"), "toxic", "quality", "doc_id", "20260928", 100)
+    c = metrics.bootstrap_hash(load(spark, sf, "labels", "doc_id", "quality", "toxic"), "toxic", "quality", "doc_id", "20260928", 10_000)
     return c.select("toxic", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
 
 
 def bootstrap_ci_mt(spark, sf):
-    rows = _answers(spark, sf).select(F.lit("f1").alias("metric"), "doc_id", metrics.token_f1(F.col("prediction"), F.col("golds")).alias("f1"))
-    return metrics.bootstrap_mt(rows, "metric", "f1", "doc_id", 20260928)
+    a = _answers(spark, sf)
+    rows = metrics.token_f1_rows(a, "id", "prediction", "golds").join(a.select("id", (F.col("conv_id") % 4).alias("run")), "id")
+    return metrics.bootstrap_mt(rows, "run", "f1", "id", 20260928)
 
 
-def guardrail_checks(spark, sf):
+def _guarded(spark, sf):
     c = load(spark, sf, "conversations", "conv_id", "turn", "role", "text").where("role <> 'user'")
     poison = F.when(F.col("conv_id") % 5 == 0, F.concat("text", F.lit(" PHISHING-CANARY"))).when(F.col("conv_id") % 7 == 0, F.concat("text", F.lit(" my System Prompt says"))).otherwise(F.col("text"))
     cites = F.when(F.col("turn") % 3 == 0, F.array(F.lit("s"), F.lit("x"))).otherwise(F.array(F.lit("s")))
     rows = c.select("conv_id", "turn", poison.alias("answer"), (F.col("turn") % 11 == 0).alias("abstained"), (F.col("turn") % 2 == 1).alias("citation_valid"), cites.alias("citation_ids"), F.lit("s").alias("support_id"), F.lit("x").alias("attack_id"))
-    return evaluation.guardrails(rows).select("conv_id", "turn", "answered", "cites_valid", "no_canary", "no_attack_cited", "no_prompt_echo", "passed")
+    return evaluation.guardrails(rows)
+
+
+def guardrail_checks(spark, sf):
+    return _guarded(spark, sf).select("conv_id", "turn", "answered", "cites_valid", "cites_support", "no_canary", "no_attack_cited", "no_prompt_echo", "passed")
 
 
 def short_query_fallback(spark, sf):
@@ -177,11 +195,21 @@ def answer_context(spark, sf):
 
 
 def agent_batch_run(spark, sf):
-    questions = _questions(spark, sf).select("qid", "question")
-    docs = load(spark, sf, "documents", "doc_id", "source", "text")
-    lexical = lambda text: lambda q: ranking.bm25(docs, "doc_id", text, q, "qid", F.col("question"), 5)
-    tools = {"keyword": lexical(F.col("text")), "vector": lexical(F.concat_ws(" ", "source", "text")), "graph": lexical(F.substring("text", 1, 400))}
-    out = agent.run(questions, docs.select(F.col("doc_id").alias("doc"), "text"), tools)
+    """Questions about parts over orders as passages: the keyword tool is BM25, the vector tool cosine search, the graph tool
+    expansion from lexical seeds."""
+    orders = cut(_order_texts(spark, sf))
+    vectors, names = _order_vectors(spark, sf), _name_vectors(spark, sf)
+
+    def keyword(q):
+        return ranking.bm25(orders, "l_orderkey", F.col("text"), q, "qid", F.col("question"), 5)
+
+    def vector(q):
+        return ranking.dense(vectors, "id", "embedding", names.join(q.select(F.col("qid").alias("id")), "id"), "id", "embedding", 5)
+
+    def graph_tool(q):
+        return _expanded(spark, sf, 1, seeds=_seeds(spark, sf, 2, q))[1]
+
+    out = agent.run(_names(spark, sf), orders.select(F.col("l_orderkey").alias("doc"), "text"), {"keyword": keyword, "vector": vector, "graph": graph_tool})
     return out.select("qid", "answer", F.array_join("citation_ids", ",").alias("citations"), "abstained", "stop_reason", "steps")
 
 
@@ -218,14 +246,13 @@ def minute_counts(spark, sf):
     return m.select(F.unix_seconds("start").alias("start"), "n", F.round("mean", 6).alias("mean"))
 
 
-QUERIES = {f.__name__: f for f in (exact_match, token_f1, citation_validity, answer_summary, floor_percentiles, abstention_rates, abstention_threshold_sweep, best_threshold, rank_auc, paired_delta, quality_gate, bootstrap_ci_hash, bootstrap_ci_mt, guardrail_checks, short_query_fallback, agent_evidence_fusion, planner_context, answer_context, agent_batch_run, rate_limiter, cache_hit_miss, manifest_latest_status, resume_remaining, trace_summary, minute_counts)}
+QUERIES = {f.__name__: f for f in (exact_match, token_f1, answer_metrics, citation_validity, answer_summary, floor_percentiles, abstention_rates, abstention_threshold_sweep, best_threshold, rank_auc, paired_delta, quality_gate, bootstrap_ci_hash, bootstrap_ci_mt, guardrail_checks, short_query_fallback, agent_evidence_fusion, planner_context, answer_context, agent_batch_run, rate_limiter, cache_hit_miss, manifest_latest_status, resume_remaining, trace_summary, minute_counts)}
 
-F1 = f"""SELECT doc_id, round(max(CASE WHEN len(p) = 0 AND len(g) = 0 THEN 1.0::DOUBLE WHEN len(p) = 0 OR len(g) = 0 THEN 0 ELSE 2.0::DOUBLE * list_sum(list_transform(list_concat(list_distinct(p), []), lambda w: least(len(list_filter(p, lambda v: v = w)), len(list_filter(g, lambda v: v = w))))) / (len(p) + len(g)) END), 6) AS f1
-FROM (SELECT doc_id, {_norm('prediction')} AS p, {_norm('gold')} AS g FROM (SELECT doc_id, prediction, unnest(golds) AS gold FROM ({ANSWERS}))) GROUP BY doc_id"""
+F1 = f"""SELECT id, round(coalesce(max(CASE WHEN len(p) = 0 AND len(g) = 0 THEN 1.0::DOUBLE WHEN len(p) = 0 OR len(g) = 0 THEN 0 ELSE 2.0::DOUBLE * list_sum(list_transform(list_concat(list_distinct(p), []), lambda w: least(len(list_filter(p, lambda v: v = w)), len(list_filter(g, lambda v: v = w))))) / (len(p) + len(g)) END), 0), 9) AS f1
+FROM (SELECT id, {_norm('prediction')} AS p, CASE WHEN gold IS NOT NULL THEN {_norm('gold')} END AS g FROM (SELECT id, prediction, unnest(CASE WHEN len(golds) = 0 THEN [NULL] ELSE golds END) AS gold FROM ({ANSWERS}))) GROUP BY id"""
 SWEEP = f"{SCORES}, ends AS (SELECT min(score) AS lo, max(score) AS hi, max(score) FILTER (NOT positive) AS neg FROM sc), th AS (SELECT DISTINCT unnest(list_concat(list(score), [min(score) - 1, max(score) + 1, max(score) FILTER (NOT positive) + 1e-9])) AS threshold FROM sc), sw AS (SELECT threshold, count_if(positive AND score >= threshold) / count_if(positive)::DOUBLE AS r, count_if(NOT positive AND score < threshold) / count_if(NOT positive)::DOUBLE AS j FROM th, sc GROUP BY 1)"
 SWEEP_ROW = "SELECT round(threshold, 6) AS threshold, round(r, 6) AS answerable_recall, round(j, 6) AS unanswerable_rejection_rate, round((r + j) / 2, 6) AS balanced_accuracy FROM sw"
 PAIRED = f"WITH {bm25_sql('b', DOCS, QUESTIONS, 5)}, {bm25_sql('c', 'SELECT doc_id AS doc, text AS txt FROM documents', SHORT_Q, 5)}, gold AS MATERIALIZED ({GOLD}), ans AS (SELECT * FROM ({QUESTIONS}) WHERE qid IN (SELECT qid FROM gold)), x AS ({RECALL.format('br')}), y AS ({RECALL.format('cr')})"
-_POISSON = "CASE WHEN u < 0.36787944117144233 THEN 0 WHEN u < 0.7357588823428847 THEN 1 WHEN u < 0.9196986029286058 THEN 2 WHEN u < 0.9810118431238462 THEN 3 WHEN u < 0.9963401531726563 THEN 4 ELSE 5 END"
 _LOW = "list_sort(list({0}))[CAST(floor({1} * (count(*) - 1)) AS BIGINT) + 1]"
 _GONE = "(score < 30 OR qid % 6 = 0)"
 _RATE = "round(count_if({0} AND {1}) / nullif(count_if({1}), 0)::DOUBLE, 6)"
@@ -234,8 +261,20 @@ CITED = f"""WITH {bm25_sql('b', DOCS, QUESTIONS, 5)}, c AS (SELECT qid, list(CAS
   d AS (SELECT *, list_filter(cited, lambda x: NOT list_contains(retrieved, x)) AS bad FROM c)"""
 
 SQL = {
-    "exact_match": f"SELECT doc_id, CAST(list_contains(list_transform(golds, lambda g: array_to_string({_norm('g')}, ' ')), array_to_string({_norm(chr(39) + 'The ' + chr(39) + ' || upper(golds[2]) || ' + chr(39) + '!' + chr(39))}, ' ')) AS DOUBLE) AS em, CAST(list_contains(list_transform(golds, lambda g: array_to_string({_norm('g')}, ' ')), array_to_string({_norm('prediction')}, ' ')) AS DOUBLE) AS em_long FROM ({ANSWERS})",
-    "token_f1": F1,
+    "exact_match": f"SELECT id, CAST(list_contains(list_transform(golds, lambda g: array_to_string({_norm('g')}, ' ')), array_to_string({_norm(chr(39) + 'The ' + chr(39) + ' || golds[-1] || ' + chr(39) + '!' + chr(39))}, ' ')) AS DOUBLE) AS em, CAST(list_contains(list_transform(golds, lambda g: array_to_string({_norm('g')}, ' ')), array_to_string({_norm('prediction')}, ' ')) AS DOUBLE) AS em_own FROM ({ANSWERS}) WHERE len(golds) > 0",
+    "token_f1": f"SELECT id, round(f1, 6) AS f1 FROM ({F1})",
+    "answer_metrics": f"WITH f AS MATERIALIZED (SELECT id, CAST(split_part(id, ':', 1) AS BIGINT) % 4 AS run, f1 FROM ({F1})) SELECT run, question_count, mean_f1, lo, hi FROM (SELECT run, count(*) AS question_count, round(avg(f1), 6) AS mean_f1 FROM f GROUP BY 1) JOIN ({interval_sql('SELECT * FROM f', 'run', 'f1', 'id', '20260928')}) USING (run)",
+    "agent_batch_run": f"""WITH {expand_sql(1)}, {bm25_sql('x', ORDERS, NAMES, 5)}, {DENSE},
+  rs AS (SELECT qid, CAST(doc AS VARCHAR) AS doc, rank, 1 AS step FROM xr UNION ALL SELECT qid, CAST(doc AS VARCHAR), rank, 2 FROM de WHERE rank <= 5 UNION ALL SELECT qid, CAST(doc AS VARCHAR), rank, 3 FROM ({CHUNK_ROWS.format('v1')}) WHERE rank <= 5),
+  ac AS (SELECT qid, doc, sum(1.0::DOUBLE / (60 + rank)) AS rrf, max(step) AS last_step, max_by(rank, step) AS last_rank FROM rs GROUP BY ALL),
+  bp AS (SELECT qid, doc FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY last_step DESC, round(rrf, 12) DESC, last_rank, doc) AS place FROM ac) WHERE place = 1),
+  tx AS (SELECT CAST(doc AS VARCHAR) AS doc, txt FROM ({ORDERS}))
+  SELECT n.qid, CASE WHEN tx.doc IS NULL OR trim(substr(txt, 1, 120)) = '' THEN '' ELSE substr(txt, 1, 120) END AS answer, CASE WHEN tx.doc IS NULL THEN '' ELSE tx.doc END AS citations, tx.doc IS NULL AS abstained,
+  CASE WHEN tx.doc IS NULL THEN 'insufficient_evidence' ELSE 'planner_finished' END AS stop_reason, CAST(3 AS BIGINT) AS steps FROM ({NAMES}) n LEFT JOIN bp USING (qid) LEFT JOIN tx ON tx.doc = bp.doc""",
+    "rate_limiter": """WITH RECURSIVE e AS MATERIALIZED (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS s, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) / 1e6, event_id) AS n FROM events),
+  r AS (SELECT user_id, event_id, n, true AS admitted, [s] AS log FROM e WHERE n = 1
+  UNION ALL SELECT user_id, event_id, n, len(left_) < 5, CASE WHEN len(left_) < 5 THEN list_append(left_, s) ELSE left_ END FROM (SELECT e.user_id, e.event_id, e.n, e.s, list_filter(r.log, lambda x: e.s - x < 86400.0) AS left_ FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1))
+  SELECT user_id, event_id, admitted FROM r""",
     "citation_validity": f"{CITED} SELECT qid, CASE WHEN abstained THEN len(cited) = 0 ELSE len(cited) > 0 AND len(bad) = 0 END AS citation_valid, round(CASE WHEN len(cited) > 0 THEN (len(cited) - len(bad)) / len(cited)::DOUBLE WHEN abstained THEN 1 ELSE 0 END, 6) AS fraction, array_to_string(bad, ',') AS unsupported FROM d",
     "answer_summary": f"SELECT event_type, count(*) AS question_count, round(avg(CASE WHEN event_id % 3 = 0 THEN 1.0::DOUBLE ELSE 0 END), 6) AS mean_hit, round(avg(user_id), 6) AS mean_input_tokens, round({_LOW.format('value', 0.5)}, 6) AS p50_latency, round({_LOW.format('value', 0.95)}, 6) AS p95_latency, CASE WHEN event_type <> 'purchase' THEN round(sum(round(value / 1000, 6)), 3) END AS cost FROM events GROUP BY 1",
     "floor_percentiles": f"SELECT user_id, round({_LOW.format('value', 0.5)}, 6) AS p50, round({_LOW.format('value', 0.95)}, 6) AS p95 FROM events GROUP BY 1",
@@ -243,10 +282,10 @@ SQL = {
     "abstention_threshold_sweep": f"{SWEEP} {SWEEP_ROW}",
     "best_threshold": f"{SWEEP} {SWEEP_ROW} ORDER BY (r + j) / 2 DESC, j DESC, sw.threshold LIMIT 1",
     "rank_auc": f"{SCORES} SELECT round(avg(CASE WHEN p.score > n.score THEN 1.0::DOUBLE WHEN p.score = n.score THEN 0.5 ELSE 0 END), 6) AS auc FROM sc p, sc n WHERE p.positive AND NOT n.positive",
-    "paired_delta": f"{PAIRED} SELECT coalesce(hop_count, 0) AS hop, count(*) AS questions, round(avg(x.recall - y.recall), 6) AS delta FROM x JOIN y USING (qid, hop_count) GROUP BY ROLLUP (hop_count)",
+    "paired_delta": f"{PAIRED}, dl AS MATERIALIZED (SELECT qid, unnest([0, hop_count]) AS hop, x.recall - y.recall AS delta FROM x JOIN y USING (qid, hop_count)) SELECT hop, questions, delta, lo, hi FROM (SELECT hop, count(*) AS questions, round(avg(delta), 6) AS delta FROM dl GROUP BY 1) JOIN ({interval_sql('SELECT * FROM dl', 'hop', 'delta', 'qid', '20261001')}) USING (hop)",
     "quality_gate": f"{PAIRED}, m AS (SELECT 'hop' || coalesce(hop_count, 0) AS name, round(avg(recall), 6) AS value FROM y GROUP BY ROLLUP (hop_count)) SELECT f.name, floor, value, coalesce(value >= floor, false) AS passed FROM (VALUES ('hop0', 0.42::DOUBLE), ('hop1', 0.99), ('hop2', 0.1), ('hop9', 0.1)) f(name, floor) LEFT JOIN m USING (name)",
-    "bootstrap_ci_hash": f"WITH d AS (SELECT toxic, quality, r, {_POISSON} AS w FROM (SELECT toxic, quality, r, CAST('0x' || substr(md5('20260928:' || r || ':' || doc_id), 1, 8) AS BIGINT) / 4294967296.0 AS u FROM labels, range(100) t(r))), m AS (SELECT toxic, r, round(coalesce(sum(quality * w)::DOUBLE / nullif(sum(w), 0), 0), 9) AS m FROM d GROUP BY ALL) SELECT toxic, round({_LOW.format('m', 0.025)}, 6) AS lo, round({_LOW.format('m', 0.975)}, 6) AS hi FROM m GROUP BY 1",
-    "guardrail_checks": "WITH c AS (SELECT conv_id, turn, CASE WHEN conv_id % 5 = 0 THEN text || ' PHISHING-CANARY' WHEN conv_id % 7 = 0 THEN text || ' my System Prompt says' ELSE text END AS answer FROM conversations WHERE role <> 'user'), k AS (SELECT conv_id, turn, turn % 11 <> 0 AS answered, turn % 2 = 1 AS cites_valid, NOT contains(answer, 'PHISHING-CANARY') AS no_canary, turn % 3 <> 0 AS no_attack_cited, NOT contains(lower(answer), 'system prompt') AS no_prompt_echo FROM c) SELECT *, answered AND cites_valid AND no_canary AND no_attack_cited AND no_prompt_echo AS passed FROM k",
+    "bootstrap_ci_hash": f"WITH d AS (SELECT toxic, quality, r, {POISSON} AS w FROM (SELECT toxic, quality, r, CAST('0x' || substr(md5('20260928:' || r || ':' || doc_id), 1, 8) AS BIGINT) / 4294967296.0 AS u FROM labels, range(10000) t(r))), m AS (SELECT toxic, r, round(coalesce(sum(quality * w)::DOUBLE / nullif(sum(w), 0), 0), 9) AS m FROM d GROUP BY ALL) SELECT toxic, round({_LOW.format('m', 0.025)}, 6) AS lo, round({_LOW.format('m', 0.975)}, 6) AS hi FROM m GROUP BY 1",
+    "guardrail_checks": "WITH c AS (SELECT conv_id, turn, CASE WHEN conv_id % 5 = 0 THEN text || ' PHISHING-CANARY' WHEN conv_id % 7 = 0 THEN text || ' my System Prompt says' ELSE text END AS answer FROM conversations WHERE role <> 'user'), k AS (SELECT conv_id, turn, turn % 11 <> 0 AS answered, turn % 2 = 1 AS cites_valid, true AS cites_support, NOT contains(answer, 'PHISHING-CANARY') AS no_canary, turn % 3 <> 0 AS no_attack_cited, NOT contains(lower(answer), 'system prompt') AS no_prompt_echo FROM c) SELECT *, answered AND cites_valid AND no_canary AND no_attack_cited AND no_prompt_echo AS passed FROM k",
     "short_query_fallback": f"SELECT qid, CASE WHEN len({TOK.format('s')}) < 3 THEN question ELSE s END AS query FROM (SELECT qid, question, array_to_string(string_split(question, ' ')[1:1 + qid % 5], ' ') AS s FROM ({QUESTIONS}))",
     "agent_evidence_fusion": f"SELECT qid, doc, round(rrf, 9) AS rrf, score, last_step, last_rank FROM ({FUSED})",
     "planner_context": f"SELECT qid, doc, place FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY last_step DESC, last_rank, CAST(doc AS VARCHAR)) AS place FROM ({FUSED})) WHERE place <= 3",

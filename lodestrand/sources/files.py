@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.text import excerpt, hash_id
+from ..operators.relational import duplicates, numbered, require_none
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
@@ -68,16 +69,14 @@ def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.text(path, wholetext=True, pathGlobFilter="*.md").select(F.col("_metadata.file_path").alias("path"), "value")
     if files.isEmpty():
         raise ValueError(f"no Markdown file in {path}")
-    return parse_markdown(files)
+    return parse_markdown(files.orderBy("path"))
 
 
 def worksheet(pairs: DataFrame, entities: DataFrame) -> DataFrame:
     """Adjudication rows of candidate pairs (a, b, similarity) in order of similarity, with both entities' provenance;
     unknown entities have empty fields."""
-    from pyspark.sql import Window
-
-    order = Window.orderBy(F.round("similarity", 9).desc(), "a", "b")
-    out = pairs.withColumn("pair_id", F.format_string("pair_%04d", F.row_number().over(order)))
+    out = numbered(pairs, "_n", F.round("similarity", 9).desc(), "a", "b")
+    out = out.withColumn("pair_id", F.format_string("pair_%04d", "_n")).drop("_n")
     for side, key in (("entity1", "a"), ("entity2", "b")):
         joined = lambda c: F.array_join(F.coalesce(F.col(c), F.array().cast("array<string>")), "; ")
         cols = entities.select(F.col("id").alias(key), F.col("name").alias(f"{side}_name"), joined("aliases").alias(f"{side}_aliases"))
@@ -91,8 +90,16 @@ def audit_sheet(rows: DataFrame, text: str = "passage_text") -> DataFrame:
     return rows.withColumn(text, excerpt(F.col(text), 800, "..."))
 
 
-def write_graph(nodes: DataFrame, edges: DataFrame, evidence: DataFrame, path: str) -> None:
-    """Vertex, edge and evidence tables, replaced as a whole: running it again changes nothing."""
+def write_graph(nodes: DataFrame, edges: DataFrame, evidence: DataFrame, path: str, dry_run: bool = False) -> None:
+    """Vertex, edge and evidence tables, replaced as a whole: running it again changes nothing. Repeated ids and edges with
+    an unknown end fail before anything is written; a dry run stops there."""
+    for name, df, key in (("node", nodes, "id"), ("edge", edges, "edge_id"), ("evidence", evidence, "evidence_id")):
+        if key in df.columns:
+            require_none(duplicates(df, key), f"repeated {name} id")
+    for end in ("subject_id", "object_id"):
+        require_none(edges.join(nodes.select(F.col("id").alias(end)), end, "left_anti").select(end).distinct(), f"unknown {end}")
+    if dry_run:
+        return
     for name, df in (("nodes", nodes), ("edges", edges), ("edge_evidence", evidence)):
         df.write.mode("overwrite").parquet(f"{path}/{name}")
 
@@ -103,8 +110,9 @@ def write_summary(row: dict, path: str) -> None:
 
 
 def report(header: Iterable[str], rows: Iterable[Iterable]) -> str:
-    """A Markdown table of a small aggregate: a dash for null, floats with three places."""
-    show = lambda x: "—" if x is None else f"{x:.3f}" if isinstance(x, float) else str(x)
+    """A Markdown table of a small aggregate: a dash for null, floats with three places, pairs as intervals."""
+    one = lambda x: "—" if x is None else f"{x:.3f}" if isinstance(x, float) else str(x)
+    show = lambda x: f"{one(x[0])}–{one(x[1])}" if isinstance(x, tuple) else one(x)
     head = list(header)
     lines = ["| " + " | ".join(head) + " |", "|" + "---|" * len(head)]
     return "\n".join([*lines, *("| " + " | ".join(map(show, r)) + " |" for r in rows)])

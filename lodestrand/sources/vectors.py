@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import exists
+
 Encoder = Callable[[list[str]], np.ndarray]
 SCHEMA = "model string, revision string, strategy string, content_sha256 string, vector array<float>"
 
@@ -32,13 +34,7 @@ def cached_vectors(spark: SparkSession, texts: DataFrame, path: str, encoder: En
     """texts (id, text) with their vectors; encodes what the cache at path lacks and appends it there."""
     key = F.sha2(F.coalesce("text", F.lit("")), 256)
     wanted = texts.withColumn("content_sha256", key)
-    try:
-        cache = spark.read.schema(SCHEMA).parquet(path)
-        cache.isEmpty()
-    except Exception as e:  # noqa: BLE001 - a first run has no cache yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        cache = spark.createDataFrame([], SCHEMA)
+    cache = spark.read.schema(SCHEMA).parquet(path) if exists(spark, path) else spark.createDataFrame([], SCHEMA)
     own = cache.where((F.col("model") == model) & (F.col("revision") == revision) & (F.col("strategy") == strategy)).select("content_sha256", "vector")
     misses = wanted.select("content_sha256", "text").dropDuplicates(["content_sha256"]).join(own, "content_sha256", "left_anti")
 

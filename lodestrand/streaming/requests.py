@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.ranking import check
+from ..storage import exists
 
 
 def admit(log: list[float], stamps: list[float], limit: int, window: float) -> tuple[list[float], list[bool]]:
@@ -27,14 +28,25 @@ def admit(log: list[float], stamps: list[float], limit: int, window: float) -> t
 
 
 def limited(events: DataFrame, limit: int, window: float) -> DataFrame:
-    """Batch form over (user_id, event_id, seconds): admitted beside each event, in time order per user."""
+    """Batch form over (user_id, event_id, seconds): admitted beside each event, in time order per user. Users' logs stream
+    by in batches; what is held between them is one user's admitted stamps."""
     check(limit >= 1, "limit must be at least 1")
 
-    def run(frame):
-        frame = frame.sort_values(["seconds", "event_id"])
-        return frame.assign(admitted=admit([], frame["seconds"].tolist(), limit, window)[1])[["user_id", "event_id", "seconds", "admitted"]]
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-    return events.select("user_id", "event_id", "seconds").groupBy("user_id").applyInPandas(run, "user_id long, event_id long, seconds double, admitted boolean")
+        user, log = None, []
+        for batch in batches:
+            users, stamps, out = batch.column(0).to_pylist(), batch.column(2).to_pylist(), []
+            for own, stamp in zip(users, stamps, strict=True):
+                if own != user:
+                    user, log = own, []
+                log, verdict = admit(log, [stamp], limit, window)
+                out += verdict
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.bool_())], [*batch.schema.names, "admitted"])
+
+    own = events.select(F.col("user_id").cast("long"), F.col("event_id").cast("long"), F.col("seconds").cast("double"))
+    return own.repartition("user_id").sortWithinPartitions("user_id", "seconds", "event_id").mapInArrow(run, "user_id long, event_id long, seconds double, admitted boolean")
 
 
 def limited_stream(events: DataFrame, limit: int, window: float) -> DataFrame:
@@ -67,20 +79,19 @@ def cache_stream(stream: DataFrame, path: str, checkpoint: str, key: str, comput
     """Compute and append the rows of a stream whose key the table at path lacks; a batch that runs again adds nothing."""
 
     def each(batch: DataFrame, _: int) -> None:
-        try:
-            done = batch.sparkSession.read.parquet(path).select(key)
-            batch = batch.join(done, key, "left_anti")
-        except Exception as e:  # noqa: BLE001 - the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
+        if exists(batch.sparkSession, f"{path}/_SUCCESS"):
+            batch = batch.join(batch.sparkSession.read.parquet(path).select(key), key, "left_anti")
         compute(batch.dropDuplicates([key])).write.mode("append").parquet(path)
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def once(stream: DataFrame, key: str) -> DataFrame:
-    """Every key's first row, over the whole stream."""
-    return stream.dropDuplicates([key])
+def once(stream: DataFrame, key: str, stamp: str | None = None, delay: str = "1 day") -> DataFrame:
+    """Every key's first row. With a stamp, keys are forgotten once the watermark has passed them by the delay, which
+    bounds the state; without one they are kept for ever."""
+    if stamp is None:
+        return stream.dropDuplicates([key])
+    return stream.withWatermark(stamp, delay).dropDuplicatesWithinWatermark([key])
 
 
 def minute_counts(traces: DataFrame, stamp: str = "ts", delay: str = "10 minutes") -> DataFrame:

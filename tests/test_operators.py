@@ -83,7 +83,7 @@ def test_nodes_and_edges(spark):
     with pytest.raises(Exception, match="two kinds"):
         knowledge.nodes(m.withColumn("kind", F.when(F.col("seq") == 1, "Task").otherwise("Paper"))).collect()
     t = spark.createDataFrame([("s", "USES", "o", "c2", "p", 0.4, 1), ("s", "USES", "o", "c1", "p", 0.3, 2), ("s", "USES", "o", "c2", "p", 0.2, 3)], "subject_id string, predicate string, object_id string, chunk_id string, paper_id string, confidence double, seq int")
-    e = knowledge.edges(knowledge.edge_evidence(t, F.max_by("confidence", "seq"))).first()
+    e = knowledge.edges(knowledge.edge_evidence(t, F.col("seq"))).first()
     assert [(x.chunk_id, x.confidence) for x in e.evidence] == [("c1", 0.3), ("c2", 0.2)]
 
 

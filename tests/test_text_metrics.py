@@ -86,8 +86,9 @@ def test_bootstrap_ci_mt_resamples_ten_thousand_times(spark):
     from lodestrand.plans import scoring
 
     sf = "/root/testdata/sf0.001"
-    x = [r.f1 for r in scoring._answers(spark, sf).select("doc_id", metrics.token_f1(F.col("prediction"), F.col("golds")).alias("f1")).orderBy("doc_id").collect()]
-    rng = random.Random(20260928)
-    means = sorted(sum(rng.choices(x, k=len(x))) / len(x) for _ in range(10_000))
-    row = scoring.bootstrap_ci_mt(spark, sf).first()
-    assert (row.lo, row.hi) == (means[249], means[9749])
+    rows = scoring._answers(spark, sf).select("id", "conv_id", metrics.token_f1(F.col("prediction"), F.col("golds")).alias("f1")).orderBy("id").collect()
+    for row in scoring.bootstrap_ci_mt(spark, sf).collect():
+        x = [r.f1 for r in rows if r.conv_id % 4 == row.run]
+        rng = random.Random(20260928)
+        means = sorted(sum(rng.choices(x, k=len(x))) / len(x) for _ in range(10_000))
+        assert (row.n, row.lo, row.hi) == (len(x), means[249], means[9749])
