@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -15,9 +16,16 @@ _OWN: list[str] = []
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local one is set only where the session names none."""
+    """The folder named by spark.checkpoint.dir, else the one given to setCheckpointDir. Only a session that runs in this
+    very process may name none: it gets a local one. On a cluster that is an error, as executors share no local folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        given = spark.sparkContext._jsc.sc().getCheckpointDir()
+        root = given.get() if given.isDefined() else None
+    if not root:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="lodestrand-")
         spark.sparkContext.setCheckpointDir(root)
         spark.conf.set("spark.checkpoint.dir", root)
@@ -30,22 +38,36 @@ def work_dir(spark: SparkSession, tag: str) -> str:
     return path
 
 
+def _delete(uri: str) -> None:
+    with contextlib.suppress(Exception):  # leftovers never matter
+        fs, path = file_system(uri)
+        fs.delete_dir(path)
+
+
 @atexit.register
 def _clear() -> None:
     """Drop what this driver wrote in the shared folder once it ends."""
     for uri in _OWN:
-        try:
-            fs, path = file_system(uri)
-            fs.delete_dir(path)
-        except Exception:  # noqa: BLE001 - leftovers at exit never matter
-            pass
+        _delete(uri)
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again: cuts lineage and survives lost executors."""
+def materialize(df: DataFrame, tag: str, replaces: tuple[DataFrame, ...] | list[DataFrame] = ()) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it again: cuts lineage and survives lost executors. Tables
+    written here before that nothing else reads from now on (``replaces``) are deleted once this one is complete."""
     path = work_dir(df.sparkSession, tag)
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = path
+    forget(*replaces)
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more; other DataFrames are left alone."""
+    for table in tables:
+        if (path := getattr(table, "_written", None)) in _OWN:
+            _OWN.remove(path)
+            _delete(path)
 
 
 def file_system(uri: str):
@@ -92,12 +114,30 @@ def utf8_column(column) -> tuple[np.ndarray, np.ndarray]:
     return data[at[0] : at[-1]], at - at[0]
 
 
+def parts(batch, place: int, rows: int, size: int = 4 << 20):
+    """Stretches of an Arrow batch of at most ``rows`` rows, cut before the texts in the column exceed ``size`` bytes; a
+    longer text is a stretch by itself."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    text = batch.column(place)
+    kinds = (pa.types.is_string, pa.types.is_large_string, pa.types.is_binary, pa.types.is_large_binary)
+    lengths = pc.fill_null(pc.binary_length(text if any(is_(text.type) for is_ in kinds) else text.cast(pa.string())), 0)
+    ends = np.cumsum(np.r_[0, lengths.to_numpy(zero_copy_only=False)])
+    lo = 0
+    while lo < batch.num_rows:
+        hi = min(lo + rows, max(lo + 1, int(np.searchsorted(ends, ends[lo] + size, side="right")) - 1), batch.num_rows)
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
 def slim_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Send Python at most ``rows`` rows at a time, as texts may be long; a smaller setting of the session stays."""
+    """Send Python at most ``rows`` rows at a time, as texts may be long; a smaller setting of the session stays. Plans
+    read it when they run, so it is left set for the session."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, str(rows))
