@@ -12,7 +12,9 @@ shards; a reader refuses a shard whose hash names another dictionary. A single d
 reads (index, frame), so short documents cost neither the shard nor the ids of their neighbours.
 
 Null text is the empty text (only the end id is stored). A null doc_id sorts first and is flagged in the index;
-repeated doc_ids keep a row each. An empty table gives no shard. Extra columns are ignored.
+repeated doc_ids keep a row each, in no fixed order among themselves. An empty table gives no shard. Extra columns are
+ignored. Batches are cut by bytes of text; a longer text is a batch by itself and one frame, whose memory is a few times
+its size.
 """
 
 from __future__ import annotations
@@ -45,8 +47,8 @@ def word_encoder(path: str, cached: int = 600_000) -> Callable:
     A byte-level tokenizer never joins a space to what stands before it, so a text may be cut before every single
     space; and a run of letters ends its pre-token, so a word may be cut behind its leading letters (here: where a
     Latin letter meets an ASCII sign). The library meets each piece once a batch; texts with runs of white
-    space go to it uncut. Strings of special tokens are ordinary text. ``cached`` pieces are kept between batches,
-    which bounds memory, not the result.
+    space, and texts that hold the string of a special or added token, go to it uncut, so that every id is the one the
+    library gives for the whole text. ``cached`` pieces are kept between batches, which bounds memory, not the result.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     import pyarrow as pa
@@ -54,7 +56,7 @@ def word_encoder(path: str, cached: int = 600_000) -> Callable:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    added = [token.content for token in tokenizer.get_added_tokens_decoder().values()]
     kind = np.dtype("<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
     code = "H" if kind.itemsize == 2 else "I"
     known: dict[str, bytes] = {}
@@ -92,6 +94,8 @@ def word_encoder(path: str, cached: int = 600_000) -> Callable:
     def encode(texts) -> tuple[np.ndarray, np.ndarray]:
         texts = pc.fill_null(texts.cast(pa.string()), "")
         whole = pc.match_substring_regex(texts, _GAP)
+        for content in added:
+            whole = pc.or_(whole, pc.match_substring(texts, content))
         words, word, first = split(pc.if_else(whole, texts, pc.replace_substring(texts, " ", "\0 ")), "\0")
         odd = np.zeros(len(words), bool)
         if pc.any(whole).as_py():  # texts that hold the sign themselves came apart at it: put them together again
