@@ -8,17 +8,20 @@ here, however often it occurs, so that this is the plain Jaccard similarity that
 pairs of which one text repeats a line.
 
 Registers are joined to bands; documents that share a band are candidates. A candidate pair is linked if the exact Jaccard
-similarity of its shingle sets is at least ``threshold``; at 0.8 one pair in 20,000 shares no band.
+similarity of its shingle sets, the measure that the registers estimate, is at least ``threshold``; at 0.8 one pair in
+20,000 shares no band. ``signatures`` takes any weights and so draws weighted sets too.
 Classes are connected components of links, named by their smallest doc_id.
 
 No bucket is expanded in all pairs. First every member of a bucket is verified against its smallest member, which
-joins large groups of copies at once. What is left are pairs between different components within a bucket. An bound rules most of them out: with o(x) shingles of x that no other text of such buckets has, |x & y| <= min(|x| - o(x),
+joins large groups of copies at once. What is left are pairs between different components within a bucket. A bound rules most of them out: with o(x) shingles of x that no other text of such buckets has, |x & y| <= min(|x| - o(x),
 |y| - o(y)) and |x | y| >= max(|x| + o(y), |y| + o(x)). Members that it lets reach no other component are done. The
 others meet all members of their bucket in blocks, where products of 0-1 matrices give all intersections at once, and
-of whose links only a forest is returned. No bucket is capped and no link between different texts is lost.
+of whose links only a forest is returned. No bucket is capped and no candidate is dropped.
 
-Equal texts are one node. Documents without a word (null, empty, white space) are a class each. A null doc_id is never a
-name unless no other is there. Extra columns are ignored; repeated rows share their class.
+Equal texts are one node. Documents without a word (null, empty, only what str.split() takes as white space, which
+BLANK states for Spark) are a class each. A null doc_id is never a name unless no other is there. Extra columns are
+ignored; repeated rows share their class; an empty table gives no rows. Long texts are handled whole: batches are cut by
+bytes, and a text's shingles (8 bytes a word) must fit in memory.
 """
 
 from __future__ import annotations
@@ -32,6 +35,8 @@ from pyspark.sql import functions as F
 from . import common
 
 SHINGLE, BANDS, ROWS = 5, 25, 5
+#: What str.split() takes as white space; fixed by Python.
+BLANK = "\\t\\n\\x0b\\f\\r\\x1c-\\x1f \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Sets of a block that may gain links, and sets that they are compared with.
 BLOCK = (512, 1024)
 #: Nodes whose names (a long, a long and 32 characters each, some 25 MB in all) may be sent to every executor.
@@ -80,10 +85,6 @@ def shingles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return doc[place], h[place], np.diff(np.r_[place, len(h)])
 
 
-def weights(count: np.ndarray) -> np.ndarray:
-    return 1.0 + np.log(count)
-
-
 def signatures(n: int, doc: np.ndarray, h: np.ndarray, w: np.ndarray, registers: int = BANDS * ROWS) -> np.ndarray:
     """ProbMinHash registers (documents, registers): the shingle of the earliest arrival on each."""
     times = np.full(n * registers, np.inf)
@@ -116,24 +117,15 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def similarity(ha: np.ndarray, ca: np.ndarray, hb: np.ndarray, cb: np.ndarray) -> tuple[float, float]:
-    """(probability Jaccard, plain Jaccard) of two sorted weighted sets."""
-    both, ia, ib = np.intersect1d(ha, hb, assume_unique=True, return_indices=True)
-    union = len(ha) + len(hb) - len(both)
-    if not len(both):
-        return 0.0, 0.0
-    plain = len(both) / union
-    wa, wb = weights(ca), weights(cb)
-    if ca.max() == 1 and cb.max() == 1:
-        return plain, plain
-    only_a, only_b = wa.sum() - wa[ia].sum(), wb.sum() - wb[ib].sum()
-    pairs, n = np.unique(np.stack([wa[ia], wb[ib]], axis=1), axis=0, return_counts=True)
-    total = 0.0
-    for lo in range(0, len(pairs), 64):
-        p = pairs[lo : lo + 64]
-        bottom = only_a / p[:, 0] + only_b / p[:, 1] + (np.maximum(pairs[None, :, 0] / p[:, 0, None], pairs[None, :, 1] / p[:, 1, None]) * n).sum(axis=1)
-        total += float((n[lo : lo + 64] / bottom).sum())
-    return total, plain
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sorted sets."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / max(1, len(a) + len(b) - both)
+
+
+def wordy(text):
+    """Whether a text has a word, as an expression."""
+    return F.coalesce(text.rlike(f"[^{BLANK}]"), F.lit(False))
 
 
 def _slices(n: int, doc: np.ndarray) -> np.ndarray:
@@ -147,8 +139,7 @@ def _sign(docs: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
+            for part in common.parts(batch, 2, 500):
                 doc, h, _ = shingles(part.column(2).to_pylist())
                 some = np.unique(doc)
                 keys = band_keys(signatures(part.num_rows, doc, h, np.ones(len(h)))[some])
@@ -166,17 +157,16 @@ def _verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, 400):
-                part = batch.slice(lo, 400)
+            for part in common.parts(batch, 2, 400):
                 left, right = part.column(2).to_pylist(), part.column(3).to_pylist()
                 each = {t: i for i, t in enumerate(dict.fromkeys(left + right))}
-                doc, h, count = shingles(list(each))
+                doc, h, _ = shingles(list(each))
                 cut = _slices(len(each), doc)
                 linked = []
                 for t, u in zip(left, right, strict=True):
                     i, j = each[t], each[u]
                     a, b = slice(cut[i], cut[i + 1]), slice(cut[j], cut[j + 1])
-                    linked.append(similarity(h[a], count[a], h[b], count[b])[1] >= threshold)
+                    linked.append(similarity(h[a], h[b]) >= threshold)
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(linked, pa.bool_())), part.column(1).filter(pa.array(linked, pa.bool_()))], ["a", "b"])
 
     with_a = pairs.join(texts.select(F.col("nid").alias("a"), F.col("text").alias("text_a")), "a")
@@ -187,17 +177,21 @@ def _verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 def components(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """labels (nid, label) with the labels of linked nodes (a, b) made one: the smallest. Each round contracts
     every component into its smallest neighbour, so rounds grow with the logarithm of the longest chain."""
+    given = labels
     while True:
         a, b = labels.select(F.col("nid").alias("a"), F.col("label").alias("la")), labels.select(F.col("nid").alias("b"), F.col("label").alias("lb"))
         open_ = edges.join(a, "a").join(b, "b").where("la <> lb").select(F.least("la", "lb").alias("lo"), F.greatest("la", "lb").alias("hi")).distinct()
         parent = common.materialize(open_.groupBy("hi").agg(F.min("lo").alias("lo")), "parents")
         if parent.isEmpty():
+            common.forget(parent)
             return labels
+        written = parent
         for _ in range(3):  # grandparents
             up = parent.select(F.col("hi").alias("lo"), F.col("lo").alias("up"))
             parent = parent.join(up, "lo", "left").select("hi", F.coalesce("up", "lo").alias("lo"))
         moved = labels.join(parent.select(F.col("hi").alias("label"), "lo"), "label", "left")
-        labels = common.materialize(moved.select("nid", F.coalesce("lo", "label").alias("label")), "labels")
+        replaced = [written] if labels is given else [written, labels]
+        labels = common.materialize(moved.select("nid", F.coalesce("lo", "label").alias("label")), "labels", replaced)
 
 
 def _texts(docs: DataFrame, nodes: DataFrame, members: DataFrame) -> DataFrame:
@@ -217,8 +211,7 @@ def _sets(texts: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
+            for part in common.parts(batch, 1, 500):
                 doc, h, _ = shingles(part.column(1).to_pylist())
                 cut = _slices(part.num_rows, doc).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(cut), pa.array(h.view(np.int64)))], ["nid", "h"])
@@ -323,21 +316,24 @@ def classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     members = common.materialize(rows.join(buckets, "band"), "members")
     texts = _texts(docs, nodes, members)
     tested = common.materialize(members.where("nid <> b").select(F.col("nid").alias("a"), "b").distinct(), "pairs")
-    labels = nodes.select("nid", F.col("nid").alias("label"))
-    labels = components(common.materialize(_verify(tested, texts, threshold), "links"), labels)
+    links = common.materialize(_verify(tested, texts, threshold), "links", [tested])
+    labels = components(links, nodes.select("nid", F.col("nid").alias("label")))
     placed = members.select("band", "nid").join(labels, "nid")
     each = placed.groupBy("band", "label").agg(F.count(F.lit(1)).alias("size"))
     mixed = each.groupBy("band").agg(F.max(F.struct("size", "label"))["label"].alias("main"), F.sum("size").alias("n"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    open_ = common.materialize(placed.join(mixed.drop("parts"), "band"), "open")
+    open_ = common.materialize(placed.join(mixed.drop("parts"), "band"), "open", [links, members])
     if not open_.isEmpty():
         sets = _sets(texts.join(open_.select("nid").distinct(), "nid"))
-        labels = components(common.materialize(_blocks(open_, sets, threshold), "links"), labels)
+        more = common.materialize(_blocks(open_, sets, threshold), "links", [sets])
+        labels = components(more, labels)
+        common.forget(more)
+    common.forget(open_, texts)
     named = nodes.select("nid", "node", "rep").join(labels, "nid")
     first = named.groupBy("label").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "node")).alias("first"))
     named = named.join(first, "label").select("node", F.col("first.rep").alias("class_id"), F.col("first.node").alias("first_node"))
     found = signed.select("doc_id", "node").join(named, "node")
     found = found.select("doc_id", "node", "class_id", (F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("node") == F.col("first_node"))).alias("keep"))
-    alone = docs.where(~F.coalesce(F.col("text").rlike(r"(?U)\S"), F.lit(False))).select(F.col("doc_id").cast("long"), F.md5("text").alias("node"), F.col("doc_id").cast("long").alias("class_id"), F.lit(True).alias("keep"))
+    alone = docs.where(~wordy(F.col("text"))).select(F.col("doc_id").cast("long"), F.md5("text").alias("node"), F.col("doc_id").cast("long").alias("class_id"), F.lit(True).alias("keep"))
     return found.union(alone)
 
 
@@ -346,9 +342,8 @@ def deduplicated(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     columns = docs.columns
     keep = classes(docs, threshold).where("keep").select(F.col("doc_id").alias("_id"), F.col("node").alias("_node")).distinct()
     named = docs.withColumn("_hash", F.md5("text"))
-    wordy = F.coalesce(F.col("text").rlike(r"(?U)\S"), F.lit(False))
-    kept = named.where(wordy).join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_node")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_hash"]).select(*columns).union(docs.where(~wordy))
+    kept = named.where(wordy(F.col("text"))).join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_node")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_hash"]).select(*columns).union(docs.where(~wordy(F.col("text"))))
 
 
 def op4_near_duplicates(spark, sf_dir: str) -> DataFrame:
