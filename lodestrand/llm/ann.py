@@ -9,8 +9,8 @@ largest lower bound; only these are reranked, by cosine in double precision on t
 Vectors are packed in blocks (codes, scalars, ids, originals). A block of queries meets every block of vectors once, by an
 equi-join on the vectors' group, and what leaves a pair of blocks is at most k rows per query.
 
-Vectors that are null, zero, of another length than the longest, or hold null or non-finite components take no
-part, nor do rows with a null id. Rows of one id count as one candidate with its best score, and never as its own
+Vectors that are null, zero, of another length than the most frequent one (of equally frequent ones the longest), or hold
+null or non-finite components take no part, nor do rows with a null id. Rows of one id count as one candidate with its best score, and never as its own
 neighbour. Ties go to the smaller id. Extra columns are ignored; an empty table gives no rows.
 """
 
@@ -41,10 +41,11 @@ def encode(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.packbits(turned > 0, axis=1), np.abs(turned).sum(axis=1) / np.sqrt(vectors.shape[1])
 
 
-def usable(df: DataFrame, dim: int) -> DataFrame:
+def usable(df: DataFrame, dim: int | None = None) -> DataFrame:
     big = F.lit(float("inf"))
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < big)
-    return df.where(F.col("vec_id").isNotNull() & (F.size("embedding") == dim) & F.forall("embedding", fine) & F.exists("embedding", lambda x: x != 0))
+    own = F.lit(True) if dim is None else F.size("embedding") == dim
+    return df.where(F.col("vec_id").isNotNull() & own & F.forall("embedding", fine) & F.exists("embedding", lambda x: x != 0))
 
 
 def pack(df: DataFrame, dim: int, rows: int) -> DataFrame:
@@ -119,7 +120,8 @@ def search_block(ids, codes, scalars, vectors, query_ids, queries, k: int, epsil
 def nearest(df: DataFrame, queries: DataFrame, k: int = 5, epsilon: float = 2.0, rows: int = 8192, query_rows: int = 2048) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows of df found for each row of queries, nearest first."""
     spark = df.sparkSession
-    dim = df.agg(F.max(F.size("embedding"))).first()[0] or 0
+    sizes = usable(df).groupBy(F.size("embedding").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).first()
+    dim = sizes.dim if sizes else 0
     if dim < 1:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     groups = common.partitions(spark)
