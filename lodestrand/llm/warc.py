@@ -10,8 +10,9 @@ row number within the id), the others are revisits that carry the payload's dige
 response and hold no payload. Null html is the empty payload, null URLs are written as empty. Empty tables
 give no archive. Extra columns are ignored.
 
-The digests of a hot payload meet as one partial minimum per task; the lookup of the response is joined on the
-digest and a salt, so that a payload shared by a third of the pages is dealt over ``salts`` tasks or more.
+The digests of a hot payload meet as one partial minimum per task. A payload with over a thousandth of the shared ones'
+copies is hot: there are less than a thousand of those, so their responses are broadcast, and their pages take no part in
+the join on the digest but are dealt by their own hash. Long pages are held a record at a time.
 """
 
 from __future__ import annotations
@@ -31,15 +32,19 @@ INDEX_DDL = "file string, offset long, length long, url string, digest string, p
 _FIELD = re.compile(rb"([^:\r\n]+): ?([^\r\n]*)\r\n")
 
 
-def plan_records(pages: DataFrame, least: int = 100, salts: int = 32) -> DataFrame:
-    """pages with digest, payload_bytes, record_type and refers_to."""
+def plan_records(pages: DataFrame, least: int = 100, hot: int = 1000) -> DataFrame:
+    """pages with digest, payload_bytes, record_type and refers_to. Fewer than ``hot`` payloads are broadcast."""
     pages = pages.select(F.col("page_id").cast("long"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     pages = pages.withColumns({"payload_bytes": F.octet_length("html").cast("long"), "digest": F.sha2("html", 256)})
     keys = pages.where(F.col("payload_bytes") >= least).select("digest", "page_id")
-    shared = keys.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("first_id")).where("n > 1 and first_id is not null").select("digest", "first_id")
-    shared = shared.select("digest", "first_id", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    salted = pages.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(salts)).cast("int"))
-    found = salted.join(shared, ["digest", "salt"], "left")
+    shared = keys.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("first_id")).where("n > 1 and first_id is not null")
+    shared = common.materialize(shared, "shared-payloads")
+    total = shared.agg(F.sum("n")).first()[0] or 0
+    wide = shared.where(F.col("n") * hot > total).select("digest", F.col("first_id").alias("hot_id"))
+    known = pages.join(F.broadcast(wide), "digest", "left")
+    known = known.withColumn("_key", F.when(F.col("hot_id").isNull(), F.col("digest")).otherwise(F.xxhash64("page_id").cast("string")))
+    cold = shared.where(F.col("n") * hot <= total).select(F.col("digest").alias("_key"), "first_id")
+    found = known.join(cold, "_key", "left").withColumn("first_id", F.coalesce("hot_id", "first_id"))
     revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     return found.select("page_id", "url", "html", "payload_bytes", "digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first_id")).alias("refers_to"))
 
@@ -62,6 +67,7 @@ def render(page_id, url: str, html: str, digest: str, kind: str, refers_to, size
 
 def write_archives(records: DataFrame, folder: str, archive_bytes: int = 32 << 20, level: int = 6, date: str = "2000-01-01T00:00:00Z") -> DataFrame:
     """Write the planned records below ``folder``; returns the stored index."""
+    html = records.columns.index("html")
 
     def write(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -77,8 +83,8 @@ def write_archives(records: DataFrame, folder: str, archive_bytes: int = 32 << 2
             return out
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                for r in batch.slice(at, 200).to_pylist():
+            for some in common.parts(batch, html, 200):
+                for r in some.to_pylist():
                     packer = zlib.compressobj(level, wbits=31)
                     member = packer.compress(render(r["page_id"], r["url"], r["html"], r["digest"], r["record_type"], r["refers_to"], r["payload_bytes"], date)) + packer.flush()
                     held.append(member)
