@@ -16,8 +16,9 @@ This derives common prefixes by increasing value, and stops at ``length``: place
 least that many symbols with their neighbour.
 
 A hash with more than ``most`` different contexts is dealt over several transforms by context digest; the windows of
-those contexts also meet as packed 128-bit fingerprints, so repeats between the transforms are found too. Nothing
-is capped. Tasks hold a chunk, a bucket of packed pairs or a bounded batch of contexts at a time.
+those contexts also meet as packed 128-bit fingerprints, one for each different window of a transform, so repeats between
+the transforms are found too. Nothing is capped. Tasks hold a chunk, a bucket of packed pairs or a bounded batch of
+contexts at a time; the number of buckets grows with the bytes of all texts. A long text is a chunk by itself.
 
 Null text is empty. Texts shorter than ``length`` stay. A null doc_id is kept as null; repeated rows repeat each other, so
 both lose what they share. Extra columns are ignored; an empty table gives no rows.
@@ -213,8 +214,8 @@ def _store(docs: DataFrame, folder: str, length: int, buckets: int, chunk_bytes:
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "chunk", "payload"])
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                for doc_id, text in zip(batch.column(0).slice(lo, 500).to_pylist(), batch.column(1).slice(lo, 500).to_pylist(), strict=True):
+            for some in common.parts(batch, 1, 500):
+                for doc_id, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
                     raw = (text or "").encode()
                     ids.append(doc_id)
                     pieces.append(raw)
@@ -371,6 +372,10 @@ def _fingerprints(data: np.ndarray, head: np.ndarray, start: np.ndarray, chunk:
     rel = np.arange(len(own)) - np.repeat(np.cumsum(windows) - windows, windows)
     at = start[own] + rel
     h1, h2 = (mix((s[at + length] - s[at]) * back[at]) for s, back in sums)
+    # what repeats within the transform is marked there; one of each different window stands for them elsewhere
+    first = np.lexsort((h2, h1))
+    first = first[np.r_[True, (h1[first[1:]] != h1[first[:-1]]) | (h2[first[1:]] != h2[first[:-1]])]]
+    own, rel, h1, h2 = own[first], rel[first], h1[first], h2[first]
     bucket = (h1 % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     rows = np.stack([h1.view(np.int64), h2.view(np.int64), chunk[own], head[own, 2] + rel], axis=1).astype("<i8")[order]
@@ -414,17 +419,20 @@ def _cut(folder: str, length: int, texts: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = 200, texts: bool = False, chunk_bytes: int = 2 << 20, batch_bytes: int = 2 << 20, most: int = 4096) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 200, texts: bool = False, chunk_bytes: int = 2 << 20, batch_bytes: int = 2 << 20, most: int = 4096, bucket_bytes: int = 8 << 20) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 and, if wanted, the kept
     bytes. ``length`` must exceed 64."""
     if length <= GRAM:
         raise ValueError(f"length must exceed {GRAM}")
     spark = docs.sparkSession
-    folder, buckets = common.work_dir(spark, "chunks"), 4 * common.partitions(spark)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    folder, buckets = common.work_dir(spark, "chunks"), max(4 * common.partitions(spark), -(-size // bucket_bytes))
     met = _store(docs, folder, length, buckets, chunk_bytes).groupBy("bucket").applyInPandas(_meet(most), PACKED_DDL)
     met = common.materialize(met, "met")
-    gathered = common.materialize(met.groupBy("chunk").applyInPandas(_gather(folder, length, buckets), PACKED_DDL), "gathered")
-    compared = common.materialize(gathered.where("bucket >= 0").groupBy("bucket").applyInPandas(_transform(length, buckets, batch_bytes), PACKED_DDL), "compared")
+    gathered = common.materialize(met.groupBy("chunk").applyInPandas(_gather(folder, length, buckets), PACKED_DDL), "gathered", [met])
+    # a number of its own, as joining small partitions would leave few tasks: their work is in computing
+    dealt = gathered.where("bucket >= 0").repartition(max(1, buckets // 2), "bucket")
+    compared = common.materialize(dealt.groupBy("bucket").applyInPandas(_transform(length, buckets, batch_bytes), PACKED_DDL), "compared")
     crossed = compared.where("bucket >= 0").groupBy("bucket").applyInPandas(_compare, PACKED_DDL)
     marks = gathered.where("bucket < 0").union(compared.where("bucket < 0")).union(crossed)
     ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts
