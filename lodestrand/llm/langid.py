@@ -9,8 +9,13 @@ word by word. A document's language has the largest mean marginal (forward-backw
 Long documents are cut in windows of ``CORE`` words that see ``CONTEXT`` words to either side: all words count
 once, and memory stays bounded whatever a text's length.
 
+A model may learn one more label, ``OTHER``, from words with shuffled letters, random letters and letters of random
+scripts. It is never predicted; its mean marginal, the share of a text's words that are of no learned language, is the
+column ``other``.
+
 Null text and text without a letter give ``und`` and score 0; so does every text if nothing was there to learn from.
-Ties go to the language that sorts first. Extra columns pass through; ``lang_pred`` and ``score`` are replaced if there.
+Ties go to the language that sorts first. Extra columns pass through; ``lang_pred``, ``score`` and ``other`` are replaced if
+there. Repeated rows keep a row each; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,6 +32,7 @@ from . import common
 
 CORE, CONTEXT = 128, 32
 BITS = 17
+OTHER = "\U0010ffff"  # sorts behind all languages
 
 
 @dataclass
@@ -34,6 +40,7 @@ class Model:
     labels: list[str]
     weights: np.ndarray  # (2 ** BITS, labels)
     moves: np.ndarray  # (labels, labels), from the row to the column
+    words: int = 0  # different words that it learned from
 
 
 @lru_cache(maxsize=1)
@@ -127,7 +134,19 @@ def document_marginals(words: np.ndarray, offsets: np.ndarray, scores: np.ndarra
     return total / np.maximum(n, 1)[:, None]
 
 
-def train(texts: list[str], langs: list[str], sequences: int = 2400, steps: int = 64, epochs: int = 3, seed: int = 7, rate: float = 0.35) -> Model | None:
+def strange(words: list[str], rng: np.random.Generator) -> list[str]:
+    """Words of no language: with shuffled letters, of random Latin letters, or of random letters of one script."""
+    out, kind = [], rng.random()
+    start, size = ((0x61, 26), (0x61, 26), (0x370, 80), (0x400, 250), (0x5D0, 27), (0x620, 42), (0x904, 54), (0x10D0, 43), (0x3041, 180), (0x4E00, 20000), (0xAC00, 11000), (0x100, 128))[int(rng.integers(12))]
+    for w in words:
+        if kind < 0.5 and len(set(w)) > 2:
+            out.append("".join(rng.permutation(list(w))))
+        else:
+            out.append("".join(chr(start + int(c)) for c in rng.integers(0, size, int(rng.integers(3, 10)))).lower())
+    return out
+
+
+def train(texts: list[str], langs: list[str], other: bool = False, sequences: int = 2400, steps: int = 64, epochs: int = 3, seed: int = 7, rate: float = 0.35) -> Model | None:
     """Fit weights and transitions by gradient ascent (Adagrad) on spliced sequences."""
     labels = sorted(set(langs))
     pools: dict[str, list[list[str]]] = {name: [] for name in labels}
@@ -139,7 +158,11 @@ def train(texts: list[str], langs: list[str], sequences: int = 2400, steps: int
     labels = sorted(pools)
     if not labels:
         return None
-    rng, k = np.random.default_rng(seed), len(labels)
+    rng, names = np.random.default_rng(seed), list(vocabulary)
+    if other:
+        pools[OTHER] = [[vocabulary.setdefault(w, len(vocabulary)) for w in strange([names[int(i)] for i in rng.integers(0, len(names), 30)], rng)] for _ in range(300)]
+        labels.append(OTHER)
+    k = len(labels)
     ids, gold = np.zeros((sequences, steps), np.int64), np.zeros((sequences, steps), np.int64)
     for row in range(sequences):
         at = 0
@@ -182,7 +205,7 @@ def train(texts: list[str], langs: list[str], sequences: int = 2400, steps: int
             grad /= len(rows)
             mg += grad * grad
             m += rate * grad / np.sqrt(mg)
-    return Model(labels, w.astype(np.float32), m)
+    return Model(labels, w.astype(np.float32), m, len(names))
 
 
 def sample(docs: DataFrame, per_lang: int = 300, chars: int = 3000) -> tuple[list[str], list[str]]:
@@ -200,44 +223,43 @@ def sample(docs: DataFrame, per_lang: int = 300, chars: int = 3000) -> tuple[lis
     return [texts[i] for i in order], [langs[i] for i in order]
 
 
-def fit(docs: DataFrame, **options) -> Model | None:
-    return train(*sample(docs, **options))
+def fit(docs: DataFrame, other: bool = False, **options) -> Model | None:
+    return train(*sample(docs, **options), other=other)
 
 
 def annotate(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """df with lang_pred and score."""
-    df = df.drop("lang_pred", "score")
+    """df with lang_pred and score, and with ``other`` if the model knows it."""
+    from pyspark.sql import types as T
+
+    df = df.drop("lang_pred", "score", "other")
     if model is None:
         return df.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0)})
-    place = df.columns.index(text)
+    place, labels = df.columns.index(text), [x for x in model.labels if x != OTHER]
+    new = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), *[T.StructField("other", T.DoubleType())] * (OTHER in model.labels)]
 
     def label(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
+            for part in common.parts(batch, place, 500):
                 seen: dict[str, int] = {}
                 lines = [[seen.setdefault(w, len(seen)) for w in (t or "").lower().split()] for t in part.column(place).to_pylist()]
-                names, values = [], []
+                means, known = np.zeros((len(lines), len(model.labels))), np.zeros(len(lines), bool)
                 if seen:
                     scores, has = emissions(list(seen), model.weights)
                     flat = np.fromiter((w for line in lines for w in line), np.int64)
                     keep = has[flat]
                     ends = np.cumsum([0] + [len(line) for line in lines])
                     offsets = np.r_[0, np.cumsum(keep)][ends]
-                    means = document_marginals(flat[keep], offsets, scores, model.moves) if keep.any() else np.zeros((len(lines), len(model.labels)))
-                    best = means.argmax(axis=1)
                     known = np.diff(offsets) > 0
-                    names = [model.labels[b] if ok else "und" for b, ok in zip(best, known, strict=True)]
-                    values = np.where(known, np.clip(means.max(axis=1), 0, 1), 0.0)
-                else:
-                    names, values = ["und"] * len(lines), np.zeros(len(lines))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(values, pa.float64())], [*part.schema.names, "lang_pred", "score"])
-
-    from pyspark.sql import types as T
-
-    return df.mapInArrow(label, T.StructType([*df.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+                    if keep.any():
+                        means = document_marginals(flat[keep], offsets, scores, model.moves)
+                own = np.clip(means[:, : len(labels)], 0, 1)
+                names = [labels[b] if ok else "und" for b, ok in zip(own.argmax(axis=1), known, strict=True)]
+                columns = [pa.array(names, pa.string()), pa.array(np.where(known, own.max(axis=1), 0.0), pa.float64()), pa.array(np.clip(means[:, -1], 0, 1), pa.float64())]
+                yield pa.RecordBatch.from_arrays([*part.columns, *columns[: len(new)]], [*part.schema.names, *(f.name for f in new)])
+
+    return df.mapInArrow(label, T.StructType([*df.schema.fields, *new]))
 
 
 def learnable(docs: DataFrame) -> DataFrame:
