@@ -1,18 +1,21 @@
 """Personal data in text: pattern spans, and spans added by a character-level bidirectional LSTM with a CRF.
 
 Patterns give the base spans (email, ip, card, phone); they always stay. The model is trained in numpy from labelled spans:
-made-up addresses and numbers in many spellings, and look-alikes without a label, set in stretches of a bounded sample
-of documents whose own base spans are labelled too. It reads windows of ``WINDOW`` characters that overlap by
-half. Where windows overlap their emission scores are averaged, each weighted by the distance from its window's rim, and one
-Viterbi pass over each whole stretch of joined windows settles all of them globally.
-
-Every kind is written with a digit, an ``@`` or a spelled-out "at", so by definition a span holds such a trigger, and a
-model span may not reach farther from one than half a window; windows without a trigger within that reach cannot
-hold a span and are not decoded. A model span is added if it touches no base span and is plausible: ips of four parts up
-to 255, cards of 14 to 19 digits that pass Luhn, phones of 7 to 15 digits, emails with user, sign and host.
+made-up addresses, numbers and secrets (values given to a token, key or password) in many spellings, and look-alikes
+without a label, set in stretches of a bounded sample of documents whose own base spans and secrets are labelled too. It
+reads windows of ``WINDOW`` characters that overlap by half. Where windows overlap their emission scores are averaged, each
+weighted by the distance from its window's rim, and one Viterbi pass over each whole stretch of joined windows settles all
+of them globally. Windows, weights and the last step of a stretch depend on the stretch alone, not on its batch.
+
+By definition a model span holds a digit, an ``@`` or a spelled-out "at" (the trigger) and reaches at most half a window from
+one; a window farther from every trigger cannot hold a span and is not decoded. What is a span is the model's choice.
+It is added if it touches no base span, stands apart from letters and digits, and has what its kind can't be without: an
+email a sign or "at" and a dot, an ip four numbers up to 255, a card 14 to 19 digits that pass Luhn, a phone 7 to 15
+digits, a secret 12 characters with a letter and a digit and no white space.
 
 Positions are code points, ends exclusive. Null text counts as empty. Extra columns pass through; own result columns
-are replaced if there. Repeated rows keep a row each; an empty table gives no rows.
+are replaced if there. Repeated rows keep a row each; an empty table gives no rows. Long texts are read whole: batches are
+cut by bytes, and memory beyond the text grows with the stretches around its triggers, a bounded number at a time.
 """
 
 from __future__ import annotations
@@ -29,7 +32,8 @@ from pyspark.sql import types as T
 
 from . import common
 
-KINDS = ("email", "ip", "card", "phone")
+KINDS = ("email", "ip", "card", "phone", "secret")  # patterns find the first four
+BASE = 4
 WINDOW, HALF = 128, 64
 TAGS = 1 + 2 * len(KINDS)  # O, then begin and inside of each kind
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -38,7 +42,9 @@ _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-#: A sign, or a spelled-out "at": in brackets, or between spaces before any host that plausible() takes.
+#: Labels secrets in the sample that the model learns from; not used to find them.
+_ASSIGNED = re.compile(r"\b(?:token|key|secret|passw(?:or)?d)\s*[=:]\s*[\"']?([A-Za-z0-9+/_-]{16,})", re.IGNORECASE)
+#: A digit, a sign, or a spelled-out "at": in brackets, or between spaces before a host.
 _TRIGGER = re.compile(r"[0-9@]|[(\[{<] ?at ?[)\]}>]| at [a-z0-9-]+(?: ?(?:\.|[(\[{<] ?dot ?[)\]}>]|(?<= )dot(?= )) ?[a-z0-9-]+)+", re.IGNORECASE)
 
 Span = tuple[int, int, int]  # start, kind, end
@@ -84,16 +90,18 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out)
 
 
-def plausible(kind: int, span: str) -> bool:
+def possible(kind: int, span: str) -> bool:
+    """Whether a span has what its kind can't be without; how it is written is the model's matter."""
     digits = "".join(_DIGIT.findall(span))
     if kind == 0:
-        return bool(re.fullmatch(r"[A-Za-z0-9._%+-]+ ?(?:@|[(\[{<] ?at ?[)\]}>]|(?<= )at(?= )) ?[A-Za-z0-9-]+(?: ?(?:\.|[(\[{<] ?dot ?[)\]}>]|(?<= )dot(?= )) ?[A-Za-z0-9-]+)+", span, re.IGNORECASE))
+        return bool(re.search(r"@|\bat\b", span, re.IGNORECASE)) and bool(re.search(r"\.|\bdot\b", span, re.IGNORECASE)) and "\n" not in span
     if kind == 1:
-        parts = _DIGIT.sub("0", span) and re.findall(r"[0-9]+", span)
-        return len(parts) == 4 and bool(re.fullmatch(r"[0-9]+(?:[ ]?[.,][ ]?[0-9]+){3}", span)) and all(len(p) <= 3 and int(p) <= 255 for p in parts)
+        return len(parts := re.findall("[0-9]+", span)) == 4 and all(len(n) <= 3 and int(n) <= 255 for n in parts)
     if kind == 2:
-        return bool(re.fullmatch(r"[0-9](?:[ ./-]{0,2}[0-9])+", span)) and 14 <= len(digits) <= 19 and luhn(digits)
-    return bool(re.fullmatch(r"[+(]?[0-9][ ().0-9/-]*[0-9]", span)) and 7 <= len(digits) <= 15 and bool(re.search(r"[ ().+/-]", span)) and not re.fullmatch(r"[0-9]+(?:\.[0-9]+)+", span)
+        return 14 <= len(digits) <= 19 and luhn(digits)
+    if kind == 3:
+        return 7 <= len(digits) <= 15 and len(digits) < len(span)
+    return len(span) >= 12 and not re.search(r"\s", span) and bool(digits) and bool(re.search("[A-Za-z]", span))
 
 
 def codes(text: str) -> np.ndarray:
@@ -131,48 +139,62 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
-def _run(p: dict, d: str, x: np.ndarray, tape: list | None = None) -> np.ndarray:
-    """Hidden states (batch, steps, hidden) of one direction; tape gets what the backward pass needs."""
-    gates = x @ p[f"x{d}"] + p[f"b{d}"]
-    n, steps, w = gates.shape
-    h = c = np.zeros((n, w // 4), np.float32)
-    out = np.empty((n, steps, w // 4), np.float32)
-    for s in range(steps) if d == "f" else range(steps - 1, -1, -1):
-        g = gates[:, s] + h @ p[f"h{d}"]
-        act = _sigmoid(g[:, : 3 * w // 4])
-        i, f, o, u = *np.split(act, 3, axis=1), np.tanh(g[:, 3 * w // 4 :])
+def _gates(p: dict, x: np.ndarray) -> np.ndarray:
+    """What the characters add to the gates (steps, directions, windows, 4 x hidden), backward reading from the end."""
+    return np.stack([(p["e"] @ p[f"x{d}"] + p[f"b{d}"])[x.T if d == "f" else x.T[::-1]] for d in "fb"], axis=1)
+
+
+def _run(p: dict, gates: np.ndarray, tape: list | None = None) -> np.ndarray:
+    """Hidden states (windows, steps, both directions'); tape gets what the backward pass needs."""
+    steps, two, n, w = gates.shape
+    w //= 4
+    weights = np.stack([p["hf"], p["hb"]])
+    h = c = np.zeros((two, n, w), gates.dtype)
+    out = np.empty((steps, two, n, w), gates.dtype)
+    for s in range(steps):
+        g = gates[s] + h @ weights
+        act, u = _sigmoid(g[..., : 3 * w]), np.tanh(g[..., 3 * w :])
+        i, f, o = act[..., :w], act[..., w : 2 * w], act[..., 2 * w :]
         before, c_before = h, c
         c = f * c + i * u
         tc = np.tanh(c)
-        h = out[:, s] = o * tc
+        h = o * tc
+        out[s] = h
         if tape is not None:
-            tape.append((s, i, f, o, u, c_before, tc, before))
-    return out
-
-
-def _back(p: dict, d: str, x: np.ndarray, tape: list, dh_all: np.ndarray, grad: dict) -> np.ndarray:
-    n, steps, hidden = dh_all.shape
-    dh, dc = np.zeros((n, hidden), np.float32), np.zeros((n, hidden), np.float32)
-    dg = np.empty((n, steps, 4 * hidden), np.float32)
-    gh = np.zeros_like(p[f"h{d}"])
-    for s, i, f, o, u, c_before, tc, before in reversed(tape):
-        dh = dh + dh_all[:, s]
+            tape.append((i, f, o, u, c_before, tc, before))
+    return np.concatenate([out[:, 0], out[::-1, 1]], axis=2).transpose(1, 0, 2)
+
+
+def _back(p: dict, x: np.ndarray, tape: list, dh_all: np.ndarray, grad: dict) -> None:
+    """Gradients of the LSTM and the embedding from those of the hidden states (windows, steps, both directions')."""
+    n, steps, w = dh_all.shape
+    w //= 2
+    dh_all = np.stack([dh_all[:, :, :w].transpose(1, 0, 2), dh_all[:, ::-1, w:].transpose(1, 0, 2)], axis=1)
+    weights = np.stack([p["hf"], p["hb"]]).transpose(0, 2, 1)
+    dh = dc = np.zeros((2, n, w), dh_all.dtype)
+    dg = np.empty((steps, 2, n, 4 * w), dh_all.dtype)
+    gh = np.zeros((2, w, 4 * w), dh_all.dtype)
+    for s in range(steps - 1, -1, -1):
+        i, f, o, u, c_before, tc, before = tape[s]
+        dh = dh + dh_all[s]
         dc = dc + dh * o * (1 - tc * tc)
-        g = np.concatenate([dc * u * i * (1 - i), dc * c_before * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - u * u)], axis=1)
-        dg[:, s] = g
-        gh += before.T @ g
-        dh, dc = g @ p[f"h{d}"].T, dc * f
-    grad[f"h{d}"] = gh
-    grad[f"x{d}"] = np.einsum("bse,bsg->eg", x, dg, optimize=True)
-    grad[f"b{d}"] = dg.sum(axis=(0, 1))
-    return dg @ p[f"x{d}"].T
+        g = dg[s]
+        g[..., :w], g[..., w : 2 * w] = dc * u * i * (1 - i), dc * c_before * f * (1 - f)
+        g[..., 2 * w : 3 * w], g[..., 3 * w :] = dh * tc * o * (1 - o), dc * i * (1 - u * u)
+        gh += before.transpose(0, 2, 1) @ g
+        dh, dc = g @ weights, dc * f
+    grad["hf"], grad["hb"] = gh
+    grad["e"] = np.zeros_like(p["e"])
+    for d, own, seen in (("f", dg[:, 0], x.T), ("b", dg[:, 1], x.T[::-1])):
+        own = own.reshape(-1, 4 * w)
+        grad[f"x{d}"], grad[f"b{d}"] = p["e"][seen].reshape(len(own), -1).T @ own, own.sum(axis=0)
+        np.add.at(grad["e"], seen.ravel(), own @ p[f"x{d}"].T)
 
 
 def emissions(model: Model, x: np.ndarray) -> np.ndarray:
     """Scores (windows, characters, tags) of character classes."""
     p = model.p
-    e = p["e"][x]
-    return np.concatenate([_run(p, "f", e), _run(p, "b", e)], axis=2) @ p["o"] + p["ob"]
+    return _run(p, _gates(p, x)) @ p["o"] + p["ob"]
 
 
 def _crf(scores: np.ndarray, gold: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -195,7 +217,18 @@ def _crf(scores: np.ndarray, gold: np.ndarray, moves: np.ndarray) -> tuple[np.nd
     return y - marginal, np.einsum("nsi,nsj->ij", y[:, :-1], y[:, 1:], optimize=True) - expected
 
 
-def train(x: np.ndarray, gold: np.ndarray, epochs: int = 11, batch: int = 192, seed: int = 3, rate: float = 0.02) -> Model:
+def gradients(p: dict, moves: np.ndarray, x: np.ndarray, gold: np.ndarray) -> dict:
+    """Gradients of the log-likelihood of tags by all parameters."""
+    tape, grad = [], {}
+    h = _run(p, _gates(p, x), tape)
+    ds, grad["t"] = _crf((h @ p["o"] + p["ob"]).astype(np.float64), gold, moves)
+    ds = ds.astype(h.dtype)
+    grad["o"], grad["ob"] = np.einsum("bsh,bsk->hk", h, ds, optimize=True), ds.sum(axis=(0, 1))
+    _back(p, x, tape, ds @ p["o"].T, grad)
+    return grad
+
+
+def train(x: np.ndarray, gold: np.ndarray, epochs: int = 14, batch: int = 96, seed: int = 3, rate: float = 0.015) -> Model:
     """Adam on the CRF log-likelihood."""
     model = Model(fresh(seed))
     p, rng = model.p, np.random.default_rng(seed)
@@ -203,15 +236,7 @@ def train(x: np.ndarray, gold: np.ndarray, epochs: int = 11, batch: int = 192, s
     batches = epochs * -(-len(x) // batch)
     for _ in range(epochs):
         for rows in np.split(rng.permutation(len(x)), range(batch, len(x), batch)):
-            e, tf, tb, grad = p["e"][x[rows]], [], [], {}
-            h = np.concatenate([_run(p, "f", e, tf), _run(p, "b", e, tb)], axis=2)
-            ds, grad["t"] = _crf((h @ p["o"] + p["ob"]).astype(np.float64), gold[rows], model.moves)
-            ds = ds.astype(np.float32)
-            grad["o"], grad["ob"] = np.einsum("bsh,bsk->hk", h, ds, optimize=True), ds.sum(axis=(0, 1))
-            dh = ds @ p["o"].T
-            de = _back(p, "f", e, tf, dh[:, :, : dh.shape[2] // 2], grad) + _back(p, "b", e, tb, dh[:, :, dh.shape[2] // 2 :], grad)
-            grad["e"] = np.zeros_like(p["e"])
-            np.add.at(grad["e"], x[rows].ravel(), de.reshape(-1, de.shape[2]))
+            grad = gradients(p, model.moves, x[rows], gold[rows])
             n += 1
             for k in p:
                 g = (grad[k] / len(rows)).astype(np.float32)
@@ -221,22 +246,22 @@ def train(x: np.ndarray, gold: np.ndarray, epochs: int = 11, batch: int = 192, s
     return model
 
 
-def invent(rng: np.random.Generator) -> tuple[str, int]:
-    """A made-up item and its kind, or -1 for a look-alike that is no personal data."""
+def invent(rng: np.random.Generator) -> tuple[str, int, str]:
+    """A made-up item and its kind, or -1 for a look-alike that is no personal data, and what stands before it."""
     pick = lambda *a: a[int(rng.integers(len(a)))]
     word = lambda lo=3, hi=9: "".join(chr(97 + int(c)) for c in rng.integers(0, 26, int(rng.integers(lo, hi))))
     num = lambda n: "".join(str(int(c)) for c in rng.integers(0, 10, n))
-    kind = int(rng.choice(5, p=[0.2, 0.12, 0.16, 0.22, 0.3]))
+    kind = int(rng.choice(6, p=[0.18, 0.1, 0.14, 0.18, 0.14, 0.26]))
     if kind == 0:
         user = word() + pick("", "", "." + word(), "_" + num(2), num(2), "." + num(2))
         host, top = word() + pick("", num(1), "-" + word()) + pick("", "." + word()), pick("com", "org", "net", "de", "fr", "es", "io")
         form = int(rng.integers(6))
         if form < 3:
-            return f"{user}@{host}.{top}", 0
+            return f"{user}@{host}.{top}", 0, ""
         at, dot = pick((" at ", " dot "), ("(at)", "(dot)"), ("[at]", "[dot]"), (" [at] ", " [dot] "), (" (at) ", "."), (" @ ", "."), (" at ", "."), (" at ", " (dot) "), (" at ", "(dot)"), (" AT ", " DOT "), ("{at}", "{dot}"), ("<at>", " . "))
-        return user + at + host.replace(".", dot) + dot + top, 0
+        return user + at + host.replace(".", dot) + dot + top, 0, ""
     if kind == 1:
-        return pick(".", ".", ".", " . ").join(str(int(n)) for n in rng.integers(0, 256, 4)), 1
+        return pick(".", ".", ".", " . ").join(str(int(n)) for n in rng.integers(0, 256, 4)), 1, ""
     if kind == 2:
         d = pick("4", "5", "37", "6") + num(13)
         d += next(c for c in "0123456789" if luhn(d + c))
@@ -244,15 +269,22 @@ def invent(rng: np.random.Generator) -> tuple[str, int]:
             d = num(15)
             d += next(c for c in "0123456789" if luhn(d + c))
         sep = pick("", "", " ", "-", ".")
-        return sep.join(d[i : i + 4] for i in range(0, len(d), 4)), 2
+        return sep.join(d[i : i + 4] for i in range(0, len(d), 4)), 2, ""
     if kind == 3:
         a, b, c = num(3), num(3), num(4)
-        return pick(f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"+44 20 {c} {num(4)}", f"+49 {a} {num(7)}", f"00 33 1 {num(2)} {num(2)} {num(2)} {num(2)}", f"+34 {a} {b} {num(3)}", f"({a}){b}-{c}"), 3
-    hexa = "".join("0123456789abcdef"[int(c)] for c in rng.integers(0, 16, int(rng.integers(20, 44))))
-    return pick(f'token = "{hexa}"', f'key = "{hexa}"', hexa, num(1) + "." + num(1), f"v{num(1)}.{num(1)}.{num(2)}", f"20{num(2)}-0{num(1)}-1{num(1)}", f"{num(2)}:{num(2)}:{num(2)}", f"${num(1)},{num(3)}.{num(2)}", num(int(rng.integers(1, 7))) + pick(".", "", "%"), f"{num(4)}, {num(4)}", num(24), f"{num(1)}. {word()} {num(1)}. {word()}", f"@{word()}", f"{word()} at {word()}. {word().capitalize()}", f"{num(3)}.{num(3)}.{num(3)}"), -1
-
-
-def examples(texts: list[str], n: int = 6000, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+        return pick(f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"+44 20 {c} {num(4)}", f"+49 {a} {num(7)}", f"00 33 1 {num(2)} {num(2)} {num(2)} {num(2)}", f"+34 {a} {b} {num(3)}", f"({a}){b}-{c}"), 3, ""
+    chars = pick("0123456789abcdef", "0123456789abcdef", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    value = "".join(chars[int(c)] for c in rng.integers(0, len(chars), int(rng.integers(16, 48))))
+    at = int(rng.integers(len(value)))
+    value = value[:at] + num(1) + value[at + 1 :]
+    if kind == 4:
+        name = pick("token", "token", "key", "api_key", "secret", "password", "access_token", "TOKEN", "API_KEY", "Password")
+        return value, 4, name + pick(' = "', ' = "', '="', ': "', ": ", " = ", "=", " = '")
+    alike = (value, num(1) + "." + num(1), f"v{num(1)}.{num(1)}.{num(2)}", f"20{num(2)}-0{num(1)}-1{num(1)}", f"{num(2)}:{num(2)}:{num(2)}", f"${num(1)},{num(3)}.{num(2)}", num(int(rng.integers(1, 7))) + pick(".", "", "%"), f"{num(4)}, {num(4)}", num(24), f"{num(1)}. {word()} {num(1)}. {word()}", f"@{word()}", f"{word()} at {word()}. {word().capitalize()}", f"{num(3)}.{num(3)}.{num(3)}")
+    return pick(*alike), -1, pick("", "", "", "commit ", "sha256: ", "version ", "id = ", "page ")
+
+
+def examples(texts: list[str], n: int = 9000, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Labelled windows: invented items set in stretches of texts, with the texts' own base spans labelled."""
     rng, rows, tags = np.random.default_rng(seed), [], []
     texts = [t for t in texts if t.strip()] or ["no text was there to learn from, so this one stands in for it. "]
@@ -260,7 +292,7 @@ def examples(texts: list[str], n: int = 6000, seed: int = 5) -> tuple[np.ndarray
     while len(rows) < n:
         if cuts and rng.random() < 0.3:
             text = cuts[int(rng.integers(len(cuts)))]
-            marks = [(lo, k, hi) for lo, k, hi in base_spans(text)]
+            marks = [*base_spans(text), *((m.start(1), 4, m.end(1)) for m in _ASSIGNED.finditer(text))]
         else:
             text, marks = "", []
             while len(text) < 96:
@@ -268,10 +300,12 @@ def examples(texts: list[str], n: int = 6000, seed: int = 5) -> tuple[np.ndarray
                 lo = int(rng.integers(max(1, len(t) - 40)))
                 piece = _TRIGGER.sub("x", t[lo : lo + int(rng.integers(4, 40))])
                 text += piece + (" ", "\n", " ", ": ")[int(rng.integers(4))]
-                item, kind = invent(rng)
+                item, kind, lead = invent(rng)
+                text += lead
                 if kind >= 0:
                     marks.append((len(text), kind, len(text) + len(item)))
-                text += item + (" ", ". ", ", ", "\n", "!! ", "%%% ", " ", '" ')[int(rng.integers(8))]
+                quote = lead[-1:] if lead[-1:] in "\"'" else ""
+                text += item + quote + (" ", ". ", ", ", "\n", "!! ", "%%% ", " ", '" ')[int(rng.integers(8))]
         row, tag = np.full(96, 32, np.int64), np.zeros(96, np.int64)
         row[: len(text[:96])] = codes(text[:96])
         for lo, k, hi in marks:
@@ -312,23 +346,40 @@ def stretches(text: str) -> list[tuple[int, int]]:
 _RIM = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(np.float32)
 
 
-def _viterbi(scores: np.ndarray, moves: np.ndarray) -> np.ndarray:
-    """Best tags (stretches, characters); spans begin and end within."""
+def _viterbi(scores: np.ndarray, ends: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    """Best tags (stretches, characters) of stretches up to their ends; spans begin and end within."""
     n, steps, k = scores.shape
     best = scores[:, 0].copy()
     best[:, 2::2] = -1e9
-    came = np.zeros((steps, n, k), np.int8)
+    came, final = np.zeros((steps, n, k), np.int8), best.argmax(axis=1)
     for s in range(1, steps):
         v = best[:, :, None] + moves[None]
         came[s] = v.argmax(axis=1)
         best = v.max(axis=1) + scores[:, s]
-    tags = np.empty((n, steps), np.int8)
-    tags[:, -1] = best.argmax(axis=1)
-    for s in range(steps - 1, 0, -1):
-        tags[:, s - 1] = came[s][np.arange(n), tags[:, s]]
+        final = np.where(ends - 1 == s, best.argmax(axis=1), final)
+    tags = np.zeros((n, steps), np.int8)
+    now = final
+    for s in range(steps - 1, -1, -1):
+        inside = s < ends
+        tags[:, s] = np.where(inside, now, 0)
+        now = np.where(inside, came[s][np.arange(n), now], now)
     return tags
 
 
+def scored(rows: list[np.ndarray], model: Model) -> np.ndarray:
+    """Stitched emissions (stretches, characters, tags) of stretches' character classes, shortest first."""
+    sizes = np.array([max(WINDOW, -(-len(r) // HALF) * HALF) for r in rows])
+    x = np.full((len(rows), int(sizes.max())), 32, np.int64)
+    for n, r in enumerate(rows):
+        x[n, : len(r)] = r
+    total, weight = np.zeros((*x.shape, TAGS), np.float32), np.zeros(x.shape, np.float32)
+    for s in range(0, x.shape[1] - WINDOW + 1, HALF):
+        own = int(np.searchsorted(sizes, s + WINDOW))  # the longer stretches have this window
+        total[own:, s : s + WINDOW] += emissions(model, x[own:, s : s + WINDOW]) * _RIM[None, :, None]
+        weight[own:, s : s + WINDOW] += _RIM
+    return total / np.maximum(weight, 1)[:, :, None]
+
+
 def model_spans(texts: list[str], model: Model) -> list[list[Span]]:
     """Spans that the model finds in whole texts, before any check against base spans."""
     places = [(i, lo, hi) for i, t in enumerate(texts) for lo, hi in stretches(t)]
@@ -336,19 +387,11 @@ def model_spans(texts: list[str], model: Model) -> list[list[Span]]:
     places.sort(key=lambda x: x[2] - x[1])
     at = 0
     while at < len(places):
-        size = places[min(at + 255, len(places) - 1)]
-        group = places[at : at + max(1, min(256, 400_000 // max(WINDOW, size[2] - size[1])))]
+        size = places[min(at + 127, len(places) - 1)]
+        group = places[at : at + max(1, min(128, 100_000 // max(WINDOW, size[2] - size[1])))]
         at += len(group)
-        steps = max(WINDOW, -(-max(hi - lo for _, lo, hi in group) // HALF) * HALF)
-        x = np.full((len(group), steps), 32, np.int64)
-        for row, (i, lo, hi) in enumerate(group):
-            x[row, : hi - lo] = codes(texts[i][lo:hi])
-        starts = range(0, steps - WINDOW + 1, HALF)
-        total, weight = np.zeros((len(group), steps, TAGS), np.float32), np.zeros(steps, np.float32)
-        for s in starts:
-            total[:, s : s + WINDOW] += emissions(model, x[:, s : s + WINDOW]) * _RIM[None, :, None]
-            weight[s : s + WINDOW] += _RIM
-        tags = _viterbi(total / weight[None, :, None], model.moves)
+        ends = np.array([hi - lo for _, lo, hi in group])
+        tags = _viterbi(scored([codes(texts[i][lo:hi]) for i, lo, hi in group], model), ends, model.moves)
         for row, (i, lo, hi) in enumerate(group):
             own = tags[row, : hi - lo]
             begins = np.flatnonzero(own % 2 == 1)
@@ -360,19 +403,27 @@ def model_spans(texts: list[str], model: Model) -> list[list[Span]]:
     return [sorted(s) for s in out]
 
 
+_EDGE = " \t\r\n\"'.,;:!?*&%$#|"  # what a model span may not begin or end with
+
+
 def merged(text: str, base: list[Span], found: list[Span]) -> list[Span]:
-    """Base spans and the plausible model spans that touch none of them."""
-    taken, last = sorted((lo, hi) for lo, _, hi in base), 0
+    """Base spans and the possible model spans that touch none of them."""
+    taken: list[list[int]] = []  # what base spans cover, without overlaps
+    for lo, _, hi in base:
+        if taken and lo < taken[-1][1]:
+            taken[-1][1] = max(hi, taken[-1][1])
+        else:
+            taken.append([lo, hi])
+    beside = lambda c: c.isalnum() or c in "@+"
     out, at = list(base), 0
     for lo, kind, hi in found:
         span = text[lo:hi]
-        lead, trail = len(span) - len(span.lstrip()), len(span) - len(span.rstrip())
-        lo, hi = lo + lead, hi - trail
+        lo, hi = lo + len(span) - len(span.lstrip(_EDGE)), hi - len(span) + len(span.rstrip(_EDGE))
         while at < len(taken) and taken[at][1] <= lo:
-            last, at = max(last, taken[at][1]), at + 1
-        free = all(hi <= a or b <= lo for a, b in taken[max(0, at - 4) : at + 4])
-        beside = lambda c: c.isalnum() or c in "@+"
-        if free and lo < hi and not (lo and beside(text[lo - 1])) and not (hi < len(text) and beside(text[hi])) and _TRIGGER.search(text[max(0, lo - 1) : hi + 1]) and plausible(kind, text[lo:hi]):
+            at += 1
+        free = lo < hi and (at == len(taken) or hi <= taken[at][0])
+        apart = free and not (lo and beside(text[lo - 1])) and not (hi < len(text) and beside(text[hi]))
+        if apart and _TRIGGER.search(text[max(0, lo - 1) : hi + 1]) and possible(kind, text[lo:hi]):
             out.append((lo, kind, hi))
     return sorted(out)
 
@@ -381,21 +432,20 @@ def render(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{lo}:{hi}" for lo, k, hi in spans)
 
 
-COLUMNS = ["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"]
+COLUMNS = ["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_secret", "n_added", "n_spans"]
 
 
 def annotate(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """df with the counts and digest of the base spans, all spans, and how many the model added."""
+    """df with the counts and digest of the base spans, all spans, and how many are secrets, added by the model, and there."""
     df = df.drop(*COLUMNS)
     place = df.columns.index(text)
-    kinds = [T.LongType()] * 4 + [T.StringType()] * 2 + [T.LongType()]
+    kinds = [T.LongType()] * 4 + [T.StringType()] * 2 + [T.LongType()] * 3
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
+            for part in common.parts(batch, place, 1000):
                 texts = [t or "" for t in part.column(place).to_pylist()]
                 marked = [i for i, t in enumerate(texts) if _TRIGGER.search(t)]
                 base = {i: base_spans(texts[i]) for i in marked}
@@ -404,11 +454,11 @@ def annotate(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 for i, t in enumerate(texts):
                     own = base.get(i, [])
                     every = merged(t, own, found[i]) if i in found else []
-                    rows.append([*(sum(s[1] == k for s in own) for k in range(4)), hashlib.sha256(render(own).encode()).hexdigest(), render(every), len(every) - len(own)])
+                    rows.append([*(sum(s[1] == k for s in own) for k in range(BASE)), hashlib.sha256(render(own).encode()).hexdigest(), render(every), sum(s[1] == BASE for s in every), len(every) - len(own), len(every)])
                 cols = [pa.array(c, pa.int64() if isinstance(kind, T.LongType) else pa.string()) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], pa.int64() if isinstance(kind, T.LongType) else pa.string()) for kind in kinds]
                 yield pa.RecordBatch.from_arrays([*part.columns, *cols], [*part.schema.names, *COLUMNS])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, *(T.StructField(n, k) for n, k in zip(COLUMNS, kinds, strict=True))]))
+    return df.mapInArrow(common.lean(run), T.StructType([*df.schema.fields, *(T.StructField(n, k) for n, k in zip(COLUMNS, kinds, strict=True))]))
 
 
 def masked(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -419,8 +469,7 @@ def masked(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
+            for part in common.parts(batch, place, 1000):
                 texts = part.column(place).to_pylist()
                 marked = [i for i, t in enumerate(texts) if t and _TRIGGER.search(t)]
                 for i, found in zip(marked, model_spans([texts[i] for i in marked], model), strict=True):
@@ -434,7 +483,7 @@ def masked(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 columns[place] = pa.array(texts, part.schema.field(place).type)
                 yield pa.RecordBatch.from_arrays(columns, part.schema.names)
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(common.lean(run), df.schema)
 
 
 def op1_personal_data(spark, sf_dir: str) -> DataFrame:
