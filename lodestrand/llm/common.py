@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from urllib.parse import urlparse
 
 import numpy as np
@@ -114,7 +117,45 @@ def utf8_column(column) -> tuple[np.ndarray, np.ndarray]:
     return data[at[0] : at[-1]], at - at[0]
 
 
-def parts(batch, place: int, rows: int, size: int = 4 << 20):
+_KEPT: dict[str, Callable[[], None]] = {}
+
+
+def keeps(owner: str, drop: Callable[[], None]) -> None:
+    """Say how to drop what an operator keeps between the tasks of a worker process."""
+    _KEPT[owner] = drop
+
+
+def _libc():
+    with contextlib.suppress(OSError, AttributeError):
+        return ctypes.CDLL("libc.so.6")
+    return None
+
+
+def lean(run: Callable[[Iterator], Iterator], owner: str = "") -> Callable[[Iterator], Iterator]:
+    """run for mapInArrow, in a worker process that lives on between stages: what other operators kept there goes first,
+    large arrays are taken from the system one by one, and what is free at the end is given back."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for name, drop in _KEPT.items():
+            if name != owner:
+                drop()
+        if libc := _libc():
+            libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD, which else grows to 32 MB
+            libc.mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if libc:
+                libc.malloc_trim(0)
+
+    return wrapped
+
+
+def parts(batch, place: int, rows: int, size: int = 2 << 20):
     """Stretches of an Arrow batch of at most ``rows`` rows, cut before the texts in the column exceed ``size`` bytes; a
     longer text is a stretch by itself."""
     import pyarrow as pa

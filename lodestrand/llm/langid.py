@@ -124,8 +124,8 @@ def document_marginals(words: np.ndarray, offsets: np.ndarray, scores: np.ndarra
     start, stop = np.maximum(lo - CONTEXT, offsets[doc]), np.minimum(hi + CONTEXT, offsets[doc + 1])
     total = np.zeros((len(n), k))
     order = np.argsort(stop - start, kind="stable")
-    for at in range(0, len(order), 2048):
-        own = order[at : at + 2048]
+    for at in range(0, len(order), 512):
+        own = order[at : at + 512]
         steps = int((stop - start)[own].max())
         place = start[own][:, None] + np.arange(steps)[None]
         g = forward_backward(scores[words[np.minimum(place, len(words) - 1)]], (stop - start)[own], moves)
@@ -259,7 +259,7 @@ def annotate(df: DataFrame, model: Model | None, text: str = "text") -> DataFram
                 columns = [pa.array(names, pa.string()), pa.array(np.where(known, own.max(axis=1), 0.0), pa.float64()), pa.array(np.clip(means[:, -1], 0, 1), pa.float64())]
                 yield pa.RecordBatch.from_arrays([*part.columns, *columns[: len(new)]], [*part.schema.names, *(f.name for f in new)])
 
-    return df.mapInArrow(label, T.StructType([*df.schema.fields, *new]))
+    return df.mapInArrow(common.lean(label), T.StructType([*df.schema.fields, *new]))
 
 
 def learnable(docs: DataFrame) -> DataFrame:

@@ -147,7 +147,7 @@ def _sign(docs: DataFrame) -> DataFrame:
                 kept = part.take(pa.array(some))
                 yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), bands], ["doc_id", "node", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.md5("text").alias("node"), "text").mapInArrow(run, "doc_id long, node string, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.md5("text").alias("node"), "text").mapInArrow(common.lean(run), "doc_id long, node string, bands array<long>")
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -171,7 +171,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 
     with_a = pairs.join(texts.select(F.col("nid").alias("a"), F.col("text").alias("text_a")), "a")
     both = with_a.join(texts.select(F.col("nid").alias("b"), F.col("text").alias("text_b")), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(common.lean(run), "a long, b long")
 
 
 def components(edges: DataFrame, labels: DataFrame) -> DataFrame:
@@ -216,7 +216,7 @@ def _sets(texts: DataFrame) -> DataFrame:
                 cut = _slices(part.num_rows, doc).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(cut), pa.array(h.view(np.int64)))], ["nid", "h"])
 
-    return common.materialize(texts.select("nid", "text").mapInArrow(run, "nid long, h array<long>"), "sets")
+    return common.materialize(texts.select("nid", "text").mapInArrow(common.lean(run), "nid long, h array<long>"), "sets")
 
 
 def _rarity(sets: DataFrame) -> DataFrame:

@@ -126,6 +126,9 @@ def word_encoder(path: str, cached: int = 600_000) -> Callable:
     return encode
 
 
+common.keeps("tokens", word_encoder.cache_clear)
+
+
 def train_dictionary(docs: DataFrame, encode_path: str, size: int = 65_536, sample_docs: int = 500, sample_chars: int = 20_000) -> bytes:
     """Dictionary trained on the serialized ids of about ``sample_docs`` documents (at most twice as many), at most
     ``sample_chars`` characters of each: a fitted model on a bounded sample, whatever the size of the table."""
@@ -212,7 +215,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0,
             yield close()
 
     ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange(common.partitions(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    return common.materialize(ordered.mapInArrow(write, INDEX_DDL), "token-index")
+    return common.materialize(ordered.mapInArrow(common.lean(write, "tokens"), INDEX_DDL), "token-index")
 
 
 def open_shard(uri: str, dictionary: bytes) -> tuple[np.ndarray, np.dtype]:
