@@ -32,8 +32,9 @@ def test_token_ids(paths):
     from tokenizers import Tokenizer
 
     texts = ODD + noise(1, "ab 'st\n.é²½1_日 \x1c\x00\x85　") + noise(2, "ab 'st\n.é1_ßñ,!")
+    texts += [f"a{x}{mark}{y}b" for mark in ("<|endoftext|>", "<|endoftext|><|endoftext|>", "<|endoftext", "|endoftext|>") for x in ("", " ", "  ", "\0", "word ") for y in ("", " ", "\n", " more words ", "\0 ")]
+    texts += ["<|endoftext|>", "<|endoftext|> starts", "ends <|endoftext|>"]
     plain = Tokenizer.from_file(paths(TOKENIZER))
-    plain.encode_special_tokens = True
     ids, begin = token_store.word_encoder(paths(TOKENIZER))(pa.array(texts, pa.string()))
     got = [ids[a:b].tolist() for a, b in zip(begin[:-1], begin[1:], strict=True)]
     assert got == [x.ids for x in plain.encode_batch(texts, add_special_tokens=False)]
@@ -71,21 +72,91 @@ def test_base_spans():
     assert isinstance(pii.base_spans(long), list)  # no quadratic scan
 
 
-def test_pii_model():
-    x, y = pii.examples(["some plain words in a row that say nothing at all, and more of them. "] * 3, 2500)
-    model = pii.train(x, y, epochs=12)
-    x2, y2 = pii.examples(["other words that hold no data of a person, one after another. "], 150, seed=50)
-    tags = pii._viterbi(pii.emissions(model, x2), model.moves)
-    assert (tags == y2).mean() > 0.9
-    text = "word " * 500 + "call (212) 555-0188 now" + " word" * 500
-    base = pii.base_spans(text)
-    found = pii.merged(text, base, pii.model_spans([text], model)[0])
-    assert set(base) <= set(found) and all(pii.plausible(k, text[a:b]) or (a, k, b) in base for a, k, b in found)
-    assert pii.model_spans(["", "no trigger here"], model) == [[], []]
-    assert sum(hi - lo for lo, hi in pii.stretches(text)) < 400
+@pytest.fixture(scope="module")
+def prose():
+    import pyarrow.parquet as pq
+
+    return [t for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column(0).to_pylist() if t]
 
 
-def test_every_plausible_address_has_a_trigger():
+@pytest.fixture(scope="module")
+def pii_model(prose):
+    return pii.train(*pii.examples([t[:4000] for t in prose[::3]]))
+
+
+def planted(prose: list[str], n: int = 400) -> list[tuple[str, int, int, int]]:
+    """Items that no pattern finds, set between words of texts that the model did not learn from: (text, start, kind, end)."""
+    rng, out = np.random.default_rng(77), []
+    texts = [t for t in prose[1::3] if len(t) > 300 and not pii.base_spans(t) and not pii._TRIGGER.search(t)]
+    while len(out) < n:
+        item, kind, lead = pii.invent(rng)
+        if kind < 0 or pii.base_spans(item):
+            continue
+        t = texts[int(rng.integers(len(texts)))]
+        at = t.find(" ", int(rng.integers(len(t) - 100))) + 1
+        out.append((t[:at] + lead + item + (lead[-1:] if lead[-1:] in "\"'" else "") + " " + t[at:], at + len(lead), kind, at + len(lead) + len(item)))
+    return out
+
+
+def test_pii_model(prose, pii_model):
+    """Recall and precision of what only the model can find."""
+    rows = planted(prose)
+    found = [pii.merged(t, pii.base_spans(t), f) for (t, *_), f in zip(rows, pii.model_spans([t for t, *_ in rows], pii_model), strict=True)]
+    hit = sum((lo, k, hi) in f for (_, lo, k, hi), f in zip(rows, found, strict=True))
+    print("planted", len(rows), "found", hit, "spans", sum(map(len, found)))
+    assert hit / len(rows) >= 0.8 and hit / sum(map(len, found)) >= 0.85
+    clean = [t for t in prose[1::3] if not pii._ASSIGNED.search(t)]
+    extra = [set(pii.merged(t, pii.base_spans(t), f)) - set(pii.base_spans(t)) for t, f in zip(clean, pii.model_spans(clean, pii_model), strict=True)]
+    assert sum(map(len, extra)) <= len(clean) // 100
+
+
+def test_pii_spans_do_not_depend_on_the_batch(prose, pii_model):
+    texts = [t for t, *_ in planted(prose, 60)] + ["", "no trigger here", "9" * 3000, "call (212) 555-0188", "x " * 500 + "+1 (212) 555-0188" + " y 7" * 400]
+    together = pii.model_spans(texts, pii_model)
+    assert together == [pii.model_spans([t], pii_model)[0] for t in texts]
+    assert together[60] == together[61] == []
+    assert sum(hi - lo for lo, hi in pii.stretches("word " * 500 + "call (212) 555-0188 now" + " word" * 500)) < 400
+    # a stretch of one window is one plain pass of the network
+    x = pii.codes("mail bob at example dot org please")
+    row = np.full((1, pii.WINDOW), 32)
+    row[0, : len(x)] = x
+    assert np.allclose(pii.scored([x], pii_model)[0], pii.emissions(pii_model, row)[0], atol=1e-4)
+
+
+def test_pii_gradients():
+    """Of the LSTM, the embedding and the CRF, against differences of the log-likelihood."""
+    rng = np.random.default_rng(3)
+    p = {k: v.astype(np.float64) for k, v in pii.fresh(2, embed=3, hidden=2).items()}
+    x, gold = rng.integers(30, 60, (2, 6)), np.array([[0, 1, 2, 2, 0, 0], [3, 4, 0, 5, 6, 0]])
+
+    def likelihood(p):
+        model = pii.Model(p)
+        s, moves, total = pii.emissions(model, x), model.moves, 0.0
+        for n in range(len(x)):
+            a = s[n, 0]
+            for i in range(1, x.shape[1]):
+                a = np.log(np.exp(a[:, None] + moves).sum(axis=0)) + s[n, i]
+            path = s[n, np.arange(x.shape[1]), gold[n]].sum() + moves[gold[n, :-1], gold[n, 1:]].sum()
+            total += path - np.log(np.exp(a).sum())
+        return total
+
+    grad = pii.gradients(p, pii.Model(p).moves, x, gold)
+    for k in p:
+        for _ in range(4):
+            at = tuple(int(rng.integers(n)) for n in p[k].shape)
+            if k == "e":
+                at = (int(x[0, int(rng.integers(6))]), at[1])
+            if k == "t" and not pii._allowed()[at]:
+                continue
+            moved = []
+            for step in (1e-4, -1e-4):
+                q = {n: v.copy() for n, v in p.items()}
+                q[k][at] += step
+                moved.append(likelihood(q))
+            assert grad[k][at] == pytest.approx((moved[0] - moved[1]) / 2e-4, rel=1e-3, abs=1e-5), (k, at)
+
+
+def test_every_address_has_a_trigger():
     ats = ["@", " @ ", " at ", " AT ", "(at)", " [ at ] ", "{At}", "<at>"]
     dots = [".", " . ", " dot ", " DOT ", "(dot)", " [dot] ", "{ dot }", "<Dot>"]
     for host in ("example", "a-very-long-host-name-" * 5 + "x"):
@@ -93,15 +164,22 @@ def test_every_plausible_address_has_a_trigger():
             for dot in dots:
                 span = f"john{at}{host}{dot}mail{dot}org"
                 text = f"{'word ' * 60}{span}{' word' * 60}"
-                assert pii.plausible(0, span) and pii._TRIGGER.search(span), span
+                assert pii.possible(0, span) and pii._TRIGGER.search(span), span
                 assert pii.merged(text, [], [(300, 0, 300 + len(span))]) == [(300, 0, 300 + len(span))] or "@" in at
                 if at in (" at ", " AT "):
                     assert any(lo <= 300 and 300 + len(span) <= hi for lo, hi in pii.stretches(text)), span
     rng = np.random.default_rng(1)
-    made = [text for text, kind in (pii.invent(rng) for _ in range(4000)) if kind == 0]
+    made = [text for text, kind, _ in (pii.invent(rng) for _ in range(4000)) if kind == 0]
     assert any(re.search(r" at [a-z0-9-]+\.[a-z]", t) for t in made) and any(re.search(r" at .*\(dot\)", t) for t in made)
 
 
+def test_merged_spans_touch_no_base_span():
+    base = [(0, 2, 40), (2, 3, 5), (6, 3, 9), (10, 3, 12), (14, 3, 16), (18, 3, 20), (22, 1, 30), (50, 0, 60)]
+    text = ("1234567890 " * 10)[:100]
+    assert pii.merged(text, base, [(30, 3, 42), (40, 3, 52), (55, 3, 70), (60, 3, 72)]) == sorted(base)
+    assert pii.merged("a (212) 555-0188 b", [], [(2, 3, 16)]) == [(2, 3, 16)]
+
+
 def test_luhn():
     assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
 
@@ -178,12 +256,21 @@ def test_probminhash():
     texts = [" ".join(base)] + [" ".join(w if rng.random() > p else rng.choice(words) for w in base) for p in (0.005, 0.02, 0.05)] + [" ".join(base[:50] * 8)]
     doc, h, count = neardup.shingles(texts)
     cut = np.searchsorted(doc, np.arange(len(texts) + 1))
-    many = neardup.signatures(len(texts), doc, h, neardup.weights(count), 4000)
-    for j in range(1, len(texts)):
-        exact, plain = neardup.similarity(h[: cut[1]], count[: cut[1]], h[cut[j] : cut[j + 1]], count[cut[j] : cut[j + 1]])
-        assert abs((many[0] == many[j]).mean() - exact) < 0.035
-        a, b = set(h[: cut[1]].tolist()), set(h[cut[j] : cut[j + 1]].tolist())
-        assert plain == pytest.approx(len(a & b) / len(a | b))
+    for weigh in (np.ones_like, lambda n: 1 + np.log(n)):
+        w = weigh(count).astype(float)
+        many = neardup.signatures(len(texts), doc, h, w, 4000)
+        each = [dict(zip(h[cut[j] : cut[j + 1]].tolist(), w[cut[j] : cut[j + 1]].tolist(), strict=True)) for j in range(len(texts))]
+        for j in range(1, len(texts)):
+            a, b = each[0], each[j]
+            exact = sum(1 / sum(max(a.get(y, 0) / a[x], b.get(y, 0) / b[x]) for y in {*a, *b}) for x in a.keys() & b.keys())
+            assert abs((many[0] == many[j]).mean() - exact) < 0.035
+            if (w == 1).all():
+                plain = neardup.similarity(h[: cut[1]], h[cut[j] : cut[j + 1]])
+                assert plain == pytest.approx(len(a.keys() & b.keys()) / len(a.keys() | b.keys())) == pytest.approx(exact)
+
+
+def test_blank_texts():
+    assert {c for c in map(chr, range(0x110000)) if not c.split()} == {c for c in map(chr, range(0x110000)) if re.fullmatch(f"[{neardup.BLANK}]", c)}
 
 
 def test_shingles():

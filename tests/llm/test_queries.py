@@ -35,7 +35,6 @@ def test_token_store(spark, docs, path, tmp_path):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(path("byte_bpe_50k.json"))
-    plain.encode_special_tokens = True
     words = b"".join(np.arange(500, dtype="<u2").tobytes() for _ in range(9))
     index = token_store.write_shards(docs, str(tmp_path / "t"), path("byte_bpe_50k.json"), dictionary=words, shard_bytes=2000)
     got = token_store.read_shards(index, words).orderBy("start").collect()
@@ -73,6 +72,7 @@ def test_warc(spark, tmp_path):
     big = "x" * 150
     rows = [(4, "u4", big), (2, "u\n2", big), (2, "u2", big), (9, None, "small"), (8, "u8", "small"), (1, "u1", None), (None, "u", big), (7, "u7", "é" * 60)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("clash")).repartition(3)
+    assert sorted(map(str, warc.plan_records(pages, hot=1).collect())) == sorted(map(str, warc.plan_records(pages).collect()))  # joined or broadcast
     index = warc.write_archives(warc.plan_records(pages), str(tmp_path / "w"), archive_bytes=600)
     got = Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.read_records(index).collect())
     digest = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
@@ -101,7 +101,7 @@ def test_nearest(spark):
     v = rng.standard_normal((300, 16))
     v[60:90] = v[59]
     rows = [(i, [float(x) for x in v[i]]) for i in range(300)]
-    odd = [(500, None), (501, [0.0] * 16), (502, [1.0] * 15 + [None]), (503, [1.0] * 15 + [float("nan")]), (504, [1.0] * 15 + [float("inf")]), (505, [1.0] * 3), (None, [1.0] * 16), (100, rows[100][1])]
+    odd = [(500, None), (501, [0.0] * 16), (502, [1.0] * 15 + [None]), (503, [1.0] * 15 + [float("nan")]), (504, [1.0] * 15 + [float("inf")]), (505, [1.0] * 3), (506, [1.0] * 20), (507, []), (None, [1.0] * 16), (100, rows[100][1])]
     df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>").withColumn("rank", F.lit("clash")).repartition(4)
     found = ann.nearest(df, df.where("vec_id % 50 = 0"), epsilon=3.0, rows=64, query_rows=3).collect()
     unit = v / np.linalg.norm(v, axis=1, keepdims=True)
@@ -161,15 +161,23 @@ def test_near_duplicates(spark, monkeypatch, block):
 
 
 def test_near_duplicates_with_repeated_lines(spark):
-    """A line that one copy repeats 20 times counts once: 96 of 118 shingles are shared (0.81)."""
+    """A line that one copy repeats counts once: 96 of 118 shingles are shared (0.81)."""
     rows = []
-    for i in range(40):
+    for i in range(60):
         text = " ".join(f"w{i}x{j}" for j in range(100))
-        rows += [(2 * i, text), (2 * i + 1, text + f" {' '.join(f'r{i}x{j}' for j in range(18))}" * 20)]
+        rows += [(2 * i, text), (2 * i + 1, text + f" {' '.join(f'r{i}x{j}' for j in range(18))}" * (1, 20, 100)[i % 3])]
     got = neardup.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert {r.doc_id: r.class_id for r in got} == {d: d // 2 * 2 for d, _ in rows}
 
 
+def test_near_duplicates_of_blank_texts(spark):
+    """Every document has a row, whatever white space it is made of."""
+    rows = [(i, c) for i, c in enumerate(["\x1c", "\x1d\x1e", "\x1f ", "\x85", "\xa0", "\u2028\u3000", "\u200b", "a b c d e f", None, "\x1c", "\u180e"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id, r.class_id) for r in neardup.classes(df).collect()) == [(i, i) for i, _ in rows]
+    assert sorted(r.doc_id for r in neardup.deduplicated(df).collect()) == [i for i, _ in rows]
+
+
 def test_repeats(spark):
     import random
 
@@ -204,11 +212,14 @@ def test_mixing(spark, docs):
     got = mixing.weigh(full).collect()
     assert len(got) == len(TEXTS) and all(0 <= r.probability <= 1 for r in got)
     assert {r._lang for r in got} == {"en", "unknown"}
+    new = ("weight", "probability", "kept", "copies")
+    clash = mixing.weigh(full.withColumns({c: F.lit("clash") for c in new})).select(*got[0].asDict())
+    assert sorted(map(str, clash.collect())) == sorted(map(str, got))
     cells = spark.createDataFrame([("x", "1", 10), ("x", "2", 30), ("y", "1", 40), ("y", "2", 20)], "_source string, _lang string, tokens long")
     goals = {"_source": mixing.targets(cells, "_source", given={"x": 0.3, "y": 0.7}), "_lang": mixing.targets(cells, "_lang", temper=0.0)}
-    raked = mixing.rake(cells, goals, 20).collect()
+    raked = mixing.rake(cells, goals).collect()
     mass = lambda i, k: sum(r.w for r in raked if r[i] == k)
-    assert mass("_source", "x") == pytest.approx(30, abs=1e-3) and mass("_lang", "1") == pytest.approx(50, abs=1e-3)
+    assert mass("_source", "x") == pytest.approx(30, rel=2e-4) and mass("_lang", "1") == pytest.approx(50, rel=2e-4)
     odds = {(r._source, r._lang): r.w / r.tokens for r in raked}
     assert odds["x", "1"] * odds["y", "2"] == pytest.approx(odds["x", "2"] * odds["y", "1"])  # raking keeps interactions
     kept = mixing.sampled(docs)
@@ -225,7 +236,9 @@ def test_mixed_sources_meet_their_target(spark, tmp_path):
 
 def test_pieces(spark, docs, path):
     model = path("piece_bpe_32k.model")
+    clash = docs.withColumns({c: F.lit("clash") for c in ("n_pieces", "ids_crc32", "round_trip", "piece_ids")})
     got = pieces.encode_column(docs, model)
+    assert sorted(map(str, pieces.encode_column(clash, model).select(*got.columns).collect())) == sorted(map(str, got.collect()))
     back = pieces.decode_column(got.withColumnRenamed("text", "original"), model)
     rows = back.collect()
     assert len(rows) == len(TEXTS) and all(r.round_trip and r.text == (r.original or "") for r in rows)
