@@ -131,9 +131,10 @@ def _libc():
     return None
 
 
-def lean(run: Callable[[Iterator], Iterator], owner: str = "") -> Callable[[Iterator], Iterator]:
+def lean(run: Callable[[Iterator], Iterator], owner: str = "", large: int = 1, spare: int = 1) -> Callable[[Iterator], Iterator]:
     """run for mapInArrow, in a worker process that lives on between stages: what other operators kept there goes first,
-    large arrays are taken from the system one by one, and what is free at the end is given back."""
+    arrays of over ``large`` MB are taken from the system one by one, at most ``spare`` MB are held back, and what is free
+    at the end is given back. Larger numbers are faster and cost memory."""
 
     def wrapped(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -142,8 +143,8 @@ def lean(run: Callable[[Iterator], Iterator], owner: str = "") -> Callable[[Iter
             if name != owner:
                 drop()
         if libc := _libc():
-            libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD, which else grows to 32 MB
-            libc.mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
+            libc.mallopt(-3, large << 20)  # M_MMAP_THRESHOLD, which else grows to 32 MB
+            libc.mallopt(-1, spare << 20)  # M_TRIM_THRESHOLD
         try:
             yield from run(batches)
         finally:

@@ -38,7 +38,7 @@ from . import common
 
 SPACE = "▁"
 #: Words beyond this many characters are relaxed by themselves; characters that are matched at a time.
-LONG, BLOCK = 256, 100_000
+LONG, BLOCK = 256, 200_000
 _RUNS = re.compile(f"{SPACE}+[^{SPACE}]*")
 
 
@@ -340,7 +340,7 @@ def encode_all(words: list[str], v: Vocabulary) -> list[bytes]:
 class Encoder:
     """Encodes and decodes batches of texts; words met before are remembered up to a bound on memory."""
 
-    def __init__(self, path: str, remembered: int = 120_000):
+    def __init__(self, path: str, remembered: int = 300_000):
         self.v, self.known, self.bound = vocabulary(path), {}, remembered
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -374,9 +374,9 @@ def encoder(path: str) -> Encoder:
 common.keeps("pieces", lambda: (encoder.cache_clear(), vocabulary.cache_clear()))
 
 
-def encode_column(df: DataFrame, path: str, text: str = "text", ids: bool = True) -> DataFrame:
+def encode_column(df: DataFrame, path: str, text: str = "text", ids: bool = True, large: int = 1, spare: int = 1) -> DataFrame:
     """df with n_pieces, ids_crc32 (of the little-endian unsigned 32-bit ids), round_trip (whether decoding gives the
-    text back, U+2581 being a space) and, if wanted, the array of ids."""
+    text back, U+2581 being a space) and, if wanted, the array of ids. ``large`` and ``spare`` are those of common.lean."""
     new = [T.StructField("n_pieces", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("round_trip", T.BooleanType()), *[T.StructField("piece_ids", T.ArrayType(T.IntegerType()))] * ids]
     df = df.drop(*(f.name for f in new))
     place = df.columns.index(text)
@@ -395,7 +395,7 @@ def encode_column(df: DataFrame, path: str, text: str = "text", ids: bool = True
                     more.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found).astype(np.int32) if found else np.zeros(0, np.int32))))
                 yield pa.RecordBatch.from_arrays([*part.columns, *more], [*part.schema.names, *(f.name for f in new)])
 
-    return df.mapInArrow(common.lean(run, "pieces"), T.StructType([*df.schema.fields, *new]))
+    return df.mapInArrow(common.lean(run, "pieces", large, spare), T.StructType([*df.schema.fields, *new]))
 
 
 def decode_column(df: DataFrame, path: str, ids: str = "piece_ids", text: str = "text") -> DataFrame:
@@ -418,4 +418,4 @@ def op7_sentencepiece(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = common.table(spark, sf_dir, "documents", "doc_id", "text")
-    return encode_column(docs, public_tokenizers.path("piece_bpe_32k.model"), ids=False).drop("text")
+    return encode_column(docs, public_tokenizers.path("piece_bpe_32k.model"), ids=False, large=8, spare=64).drop("text")
