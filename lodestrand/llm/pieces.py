@@ -367,16 +367,17 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, remembered: int = 120_000) -> Encoder:
+    return Encoder(path, remembered)
 
 
 common.keeps("pieces", lambda: (encoder.cache_clear(), vocabulary.cache_clear()))
 
 
-def encode_column(df: DataFrame, path: str, text: str = "text", ids: bool = True, large: int = 1, spare: int = 1) -> DataFrame:
+def encode_column(df: DataFrame, path: str, text: str = "text", ids: bool = True, large: int = 1, spare: int = 1, remembered: int = 120_000) -> DataFrame:
     """df with n_pieces, ids_crc32 (of the little-endian unsigned 32-bit ids), round_trip (whether decoding gives the
-    text back, U+2581 being a space) and, if wanted, the array of ids. ``large`` and ``spare`` are those of common.lean."""
+    text back, U+2581 being a space) and, if wanted, the array of ids. ``large`` and ``spare`` are those of common.lean,
+    ``remembered`` bounds the words that a worker keeps."""
     new = [T.StructField("n_pieces", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("round_trip", T.BooleanType()), *[T.StructField("piece_ids", T.ArrayType(T.IntegerType()))] * ids]
     df = df.drop(*(f.name for f in new))
     place = df.columns.index(text)
@@ -384,7 +385,7 @@ def encode_column(df: DataFrame, path: str, text: str = "text", ids: bool = True
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        work = encoder(path)
+        work = encoder(path, remembered)
         for batch in batches:
             for part in common.parts(batch, place, 500):
                 texts = [t or "" for t in part.column(place).to_pylist()]
@@ -418,4 +419,4 @@ def op7_sentencepiece(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = common.table(spark, sf_dir, "documents", "doc_id", "text")
-    return encode_column(docs, public_tokenizers.path("piece_bpe_32k.model"), ids=False, large=8, spare=64).drop("text")
+    return encode_column(docs, public_tokenizers.path("piece_bpe_32k.model"), ids=False, large=8, spare=64, remembered=300_000).drop("text")

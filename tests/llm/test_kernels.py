@@ -79,6 +79,29 @@ def prose():
     return [t for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column(0).to_pylist() if t]
 
 
+def test_no_language():
+    """Junk and unlearned languages are strange; clean texts, short ones with a licence line too, are not."""
+    import pyarrow.parquet as pq
+
+    rows = [r for r in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text", "lang"]).to_pylist() if r["text"]]
+    rng = random.Random(3)
+    model = langid.train([r["text"][:3000] for r in rows[::2]], [r["lang"] for r in rows[::2]], other=True)
+    assert model.labels[-1] == langid.OTHER and model.words >= 1000
+
+    def strange(text):
+        words = text.lower().split()
+        scores, has = langid.emissions(words, model.weights)
+        flat = np.flatnonzero(has)
+        return langid.document_marginals(flat, np.array([0, len(flat)]), scores, model.moves)[0, -1]
+
+    junk = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 10))) for _ in range(60)), " ".join(rng.choice(["asdf", "qwerty", "zxcv", "fghj"]) for _ in range(60))]
+    foreign = ["Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw.", "Все люди рождаются свободными и равными в своем достоинстве и правах."]
+    assert all(strange(t) >= 0.6 for t in junk + foreign)
+    held = [r["text"] for r in rows[1::2]]
+    clean = held + [t + "\nThis work is licensed under the GNU General Public License, version 3." for t in held if 30 < len(t) < 200]
+    assert np.mean([strange(t) >= 0.6 for t in clean]) <= 0.005
+
+
 @pytest.fixture(scope="module")
 def pii_model(prose):
     return pii.train(*pii.examples([t[:4000] for t in prose[::3]]))
