@@ -6,8 +6,9 @@ query is estimated without bias, and the error stays within ``epsilon * sqrt((1
 a tail that falls with epsilon. In a block of vectors each query keeps those whose upper bound reaches the k-th
 largest lower bound; only these are reranked, by cosine in double precision on the original vectors.
 
-Vectors are packed in blocks (codes, scalars, ids, originals). A block of queries meets every block of vectors once, by an
-equi-join on the vectors' group, and what leaves a pair of blocks is at most k rows per query.
+Vectors are packed in blocks (codes, scalars, ids, originals). A block of queries meets every block of vectors once: it is
+copied to each group of blocks, of which there are two for each full block of vectors, but not more than partitions. What
+leaves a pair of blocks is at most k rows per query.
 
 Vectors that are null, zero, of another length than the most frequent one (of equally frequent ones the longest), or hold
 null or non-finite components take no part, nor do rows with a null id. Rows of one id count as one candidate with its best score, and never as its own
@@ -24,6 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.vectors import met
 from . import common
 
 BLOCK_DDL = "block long, ids binary, codes binary, scalars binary, vectors binary"
@@ -124,25 +126,26 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 5, epsilon: float = 2.0,
     dim = sizes.dim if sizes else 0
     if dim < 1:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    groups = common.partitions(spark)
-    blocks = pack(usable(df, dim), dim, rows).withColumn("g", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int"))
+    groups = max(min(common.partitions(spark), -(-2 * sizes["count"] // rows)), -(-sizes["count"] // 65536))
+    blocks = pack(usable(df, dim), dim, rows).withColumn("g", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int")).drop("block")
     asked = usable(queries, dim).select("vec_id", "embedding")
     n = asked.count()
     asked = pack(asked.repartition(max(1, -(-n // query_rows)), "vec_id"), dim, query_rows)
-    asked = asked.select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
+    asked = asked.select(F.col("ids").alias("q_ids"), "vectors", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
 
-    def run(batches: Iterator) -> Iterator:
+    def load(kept: list, row: dict) -> None:
+        ids = np.frombuffer(row["ids"].as_buffer(), "<i8")
+        kept.append((ids, np.frombuffer(row["codes"].as_buffer(), np.uint8).reshape(len(ids), -1), np.frombuffer(row["scalars"].as_buffer()), np.frombuffer(row["vectors"].as_buffer()).reshape(-1, dim)))
+
+    def pair(kept: list, row: dict) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
-            for i in range(batch.num_rows):
-                ids, codes, scalars, vectors, q_ids, q_vectors = (batch.column(c)[i].as_buffer() for c in range(6))
-                ids = np.frombuffer(ids, "<i8")
-                found = search_block(ids, np.frombuffer(codes, np.uint8).reshape(len(ids), -1), np.frombuffer(scalars), np.frombuffer(vectors).reshape(-1, dim), np.frombuffer(q_ids, "<i8"), np.frombuffer(q_vectors).reshape(-1, dim), k, epsilon)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["query_id", "vec_id", "score"])
-
-    pairs = blocks.join(asked, "g").select("ids", "codes", "scalars", "vectors", "q_ids", "q_vectors")
-    found = pairs.mapInArrow(run, "query_id long, vec_id long, score double")
+        q_ids, q = np.frombuffer(row["q_ids"].as_buffer(), "<i8"), np.frombuffer(row["vectors"].as_buffer()).reshape(-1, dim)
+        for block in kept:
+            found = search_block(*block, q_ids, q, k, epsilon)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["query_id", "vec_id", "score"])
+
+    found = met(blocks, asked, ["g"], "q_ids", load, pair, "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -3,13 +3,37 @@ cosines of a pair of blocks. What leaves a pair is at most the k best of each qu
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def met(right: DataFrame, left: DataFrame, cell: list[str], asked: str, load: Callable, pair: Callable, out: T.StructType | str) -> DataFrame:
+    """What ``pair(kept, row)`` yields for each row of left, ``kept`` being what ``load(kept, row)`` made of the right rows of
+    its cell. A cell's rows go to one task, right ones (those where ``asked`` is null) first; only these are held there. This
+    is no join, as a planner that doesn't see how often rows are repeated would send a whole side through the driver."""
+    groups = int(right.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = right.unionByName(left, allowMissingColumns=True)
+    names = [*cell, asked, *(c for c in both.columns if c not in (*cell, asked))]
+
+    def run(batches: Iterator) -> Iterator:
+        now, kept = None, []
+        for batch in batches:
+            place = {name: batch.column(i) for i, name in enumerate(names)}
+            for i in range(batch.num_rows):
+                row = {name: column[i] for name, column in place.items()}
+                if (own := repr([row[c].as_py() for c in cell])) != now:
+                    now, kept = own, []
+                if row[asked].is_valid:
+                    yield from pair(kept, row)
+                else:
+                    load(kept, row)
+
+    return both.select(*names).repartition(groups, *cell).sortWithinPartitions(*cell, F.col(asked).isNotNull()).mapInArrow(run, out)
+
+
 def packed(df: DataFrame, key: str, kind: str | None, vector: str, rows: int) -> DataFrame:
     """(kind, dim, ids, vectors): blocks of at most ``rows`` unit vectors of one kind and length, cut within partitions, so
     that a hot kind is many blocks. Null vectors are left out; a zero vector stays zero."""

@@ -117,6 +117,17 @@ def test_nearest(spark):
     assert [(r.query_id, r.vec_id) for r in ann.nearest(few, few.where("vec_id = 0")).collect()] == [(0, 1)]
 
 
+def test_nearest_sends_no_vectors_through_the_driver(spark):
+    v = np.random.default_rng(1).standard_normal((400, 8))
+    df = spark.createDataFrame([(i, [float(x) for x in v[i]]) for i in range(400)], "vec_id long, embedding array<double>").repartition(4)
+    out = ann.nearest(df, df.where("vec_id % 50 = 0"), epsilon=4.0, rows=32, query_rows=3)
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    got = {(r.query_id, r["rank"]): r.vec_id for r in out.collect()}
+    for q in range(0, 400, 50):
+        assert [got[q, n] for n in range(1, 6)] == [i for i in np.argsort(-(unit @ unit[q])) if i != q][:5]
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def near_rows():
     import random
 
