@@ -1,9 +1,10 @@
-"""Exact nearest vectors in blocks: unit vectors are packed once, blocks meet by an equi-join, and a matrix product gives all
-cosines of a pair of blocks. What leaves a pair is at most the k best of each query (and ties), so no pair is shuffled."""
+"""Exact nearest vectors in blocks: unit vectors are packed once, blocks meet in the cells of a grid, and a matrix product gives
+all cosines of a pair of blocks. What leaves a pair is at most the k best of each query (and ties), so no pair is shuffled."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from math import isqrt
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -61,29 +62,51 @@ def packed(df: DataFrame, key: str, kind: str | None, vector: str, rows: int) ->
     return own.sortWithinPartitions("kind", F.size("v")).mapInArrow(run, out)
 
 
+def _sides(df: DataFrame, kind: str | None, vector: str, count: str) -> DataFrame:
+    """(kind, dim, count) of the rows that packed keeps."""
+    own = df.where(F.col(vector).isNotNull() & (F.size(vector) > 0))
+    return own.groupBy((F.col(kind) if kind else F.lit(0)).alias("kind"), F.size(vector).alias("dim")).agg(F.count(F.lit(1)).alias(count))
+
+
 def nearest(df: DataFrame, key: str, vector: str, queries: DataFrame, qid: str, query: str, k: int, kind: str | None = None, rows: int = 4096, query_rows: int = 1024) -> DataFrame:
     """(qid, doc, score): for each query at least its k rows of the largest cosine, of its own kind if one is named.
-    Candidates for a rank: ties at the k-th place are all there. Rows equal to the query's id count; drop them behind."""
-    groups = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    right = packed(df, key, kind, vector, rows).withColumn("g", F.pmod(F.xxhash64(F.element_at("ids", 1)), F.lit(groups)).cast("int"))
-    left = packed(queries, qid, kind, query, query_rows).select("kind", "dim", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
+    Candidates for a rank: ties at the k-th place are all there. Rows equal to the query's id count; drop them behind.
+
+    The rows and the queries of a kind are dealt over a grid by blocks, and each cell is a part of the work: a row is copied
+    once for each column of the grid, a query once for each line. Either side has a part for a block's rows, but not more
+    than the root of the number of partitions, unless parts would exceed 65,536 rows; kinds of one block aren't copied."""
+    right, left = packed(df, key, kind, vector, rows), packed(queries, qid, kind, query, query_rows).withColumnRenamed("ids", "q_ids")
+    sides = _sides(df, kind, vector, "n").join(_sides(queries, kind, query, "m"), ["kind", "dim"])
+    most = isqrt(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1) + 1
+    share = lambda n, rows: F.least(F.ceil(F.col(n) / rows), F.greatest(F.lit(most), F.ceil(F.col(n) / 65536))).cast("int")
+    large = F.broadcast(sides.where((F.col("n") > rows) | (F.col("m") > query_rows)).select("kind", "dim", share("n", rows).alias("n_r"), share("m", query_rows).alias("n_c")))
+    place = lambda ids, n: F.pmod(F.xxhash64(F.element_at(ids, 1)), F.coalesce(n, F.lit(1))).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(n, F.lit(1)) - 1))
+    right = right.join(large, ["kind", "dim"], "left").select("kind", "dim", "ids", "vectors", place("ids", "n_r").alias("r"), every("n_c").alias("c")).where("kind is not null")
+    left = left.join(large, ["kind", "dim"], "left").select("kind", "dim", "q_ids", "vectors", place("q_ids", "n_c").alias("c"), every("n_r").alias("r")).where("kind is not null")
     kinds = queries.schema[qid].dataType, df.schema[key].dataType
 
-    def run(batches: Iterator) -> Iterator:
+    def load(kept: list, row: dict) -> None:
         import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
-            for i in range(batch.num_rows):
-                dim = batch.column(0)[i].as_py()
-                ids, q_ids = batch.column(1)[i].values, batch.column(3)[i].values
-                v, q = (np.frombuffer(batch.column(c)[i].as_buffer()).reshape(-1, dim) for c in (2, 4))
-                score = q @ v.T
-                near = np.ones(score.shape, bool)
-                if score.shape[1] > k:
-                    near = score >= np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k, None] - 1e-9
-                who, what = np.nonzero(near & ~np.isnan(score))
-                yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(who)), ids.take(pa.array(what)), pa.array(score[who, what])], ["qid", "doc", "score"])
-
-    pairs = right.join(left, ["kind", "dim", "g"]).select("dim", "ids", "vectors", "q_ids", "q_vectors")
-    return pairs.mapInArrow(run, T.StructType([T.StructField("qid", kinds[0]), T.StructField("doc", kinds[1]), T.StructField("score", T.DoubleType())]))
+        ids, v = row["ids"].values, np.frombuffer(row["vectors"].as_buffer()).reshape(-1, row["dim"].as_py())
+        if kept and len(kept[-1][0]) + len(ids) <= rows:
+            ids, v = pa.concat_arrays([kept[-1][0], ids]), np.concatenate([kept.pop()[1], v])
+        kept.append((ids, v))
+
+    def pair(kept: list, row: dict) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        q_ids, q = row["q_ids"].values, np.frombuffer(row["vectors"].as_buffer()).reshape(-1, row["dim"].as_py())
+        for ids, v in kept:
+            score = q @ v.T
+            near = np.ones(score.shape, bool)
+            if score.shape[1] > k:
+                near = score >= np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k, None] - 1e-9
+            who, what = np.nonzero(near & ~np.isnan(score))
+            yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(who)), ids.take(pa.array(what)), pa.array(score[who, what])], ["qid", "doc", "score"])
+
+    out = T.StructType([T.StructField("qid", kinds[0]), T.StructField("doc", kinds[1]), T.StructField("score", T.DoubleType())])
+    return met(right, left, ["kind", "dim", "r", "c"], "q_ids", load, pair, out)

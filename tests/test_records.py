@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lodestrand import storage
 from lodestrand.functions import metrics
 from lodestrand.functions import text as tx
-from lodestrand.operators import agent, evaluation, knowledge, ranking, records, relational
+from lodestrand.operators import agent, evaluation, knowledge, ranking, records, relational, vectors
 from lodestrand.sources import files, html
 from lodestrand.streaming import requests
 
@@ -139,6 +139,26 @@ def test_nearest_of_hot_kinds_and_odd_vectors(spark):
     assert all(kinds[r.a] == kinds[r.b] and r.a < r.b for r in pairs) and ("e1", "e999") in {(r.a, r.b) for r in pairs}
 
 
+def test_neighbours_send_no_vectors_through_the_driver(spark):
+    rng = random.Random(5)
+    rows = [(i, "hot" if i % 6 else "rare", [rng.gauss(0, 1) for _ in range(4)]) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, kind string, v array<double>")
+    out = vectors.nearest(df.repartition(5), "id", "v", df, "id", "v", 3, "kind", rows=16, query_rows=8)
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.qid, []).append((r.score, r.doc))
+    unit = {i: (k, [x / sum(y * y for y in v) ** 0.5 for x in v]) for i, k, v in rows}
+    for q, (kind, u) in unit.items():
+        want = sorted(((sum(a * b for a, b in zip(u, w, strict=True)), i) for i, (k, w) in unit.items() if k == kind), reverse=True)[:3]
+        assert [i for _, i in sorted(got[q], reverse=True)[:3]] == [i for _, i in want] and len(got[q]) == len(set(got[q]))
+    below = None
+    for line in out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].splitlines():
+        depth = len(line) - len(line.lstrip(" :+-"))
+        below = None if below is not None and depth <= below else below
+        assert below is None or "MapInArrow" not in line
+        below = depth if "BroadcastExchange" in line and below is None else below
+
+
 def test_limiter_streams_users(spark):
     rng = random.Random(9)
     rows = [(rng.randrange(4), i, float(rng.randrange(500))) for i in range(400)]
