@@ -139,6 +139,28 @@ def test_nearest_of_hot_kinds_and_odd_vectors(spark):
     assert all(kinds[r.a] == kinds[r.b] and r.a < r.b for r in pairs) and ("e1", "e999") in {(r.a, r.b) for r in pairs}
 
 
+def packed_broadcasts(df):
+    """Lines of the plan by which packed vectors are broadcast."""
+    below, found = None, []
+    for line in df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].splitlines():
+        depth = len(line) - len(line.lstrip(" :+-"))
+        below = None if below is not None and depth <= below else below
+        found += [line] if below is not None and "MapInArrow" in line else []
+        below = depth if "BroadcastExchange" in line and below is None else below
+    return found
+
+
+def test_worksheet_of_pairs_from_many_blocks(spark):
+    rng = random.Random(6)
+    df = spark.createDataFrame([(f"m{i:03d}", i % 2, [rng.gauss(0, 1) for _ in range(4)]) for i in range(200)], "id string, kind int, v array<double>")
+    pairs = ranking.neighbour_pairs(df, "id", "kind", "v", 3, 0.2)
+    known = spark.createDataFrame([("m000", "zero", ["x", "y"])], "id string, name string, aliases array<string>")
+    sheet = sorted(files.worksheet(pairs, known).collect(), key=lambda r: r.pair_id)
+    order = sorted(pairs.collect(), key=lambda r: (-round(r.similarity, 9), r.a, r.b))
+    assert [(r.pair_id, r.a, r.b, r.similarity) for r in sheet] == [(f"pair_{n:04d}", r.a, r.b, f"{r.similarity:.4f}") for n, r in enumerate(order, 1)]
+    assert {r.entity1_name for r in sheet if r.a == "m000"} == {"zero"} and not packed_broadcasts(pairs)
+
+
 def test_neighbours_send_no_vectors_through_the_driver(spark):
     rng = random.Random(5)
     rows = [(i, "hot" if i % 6 else "rare", [rng.gauss(0, 1) for _ in range(4)]) for i in range(300)]
@@ -151,12 +173,7 @@ def test_neighbours_send_no_vectors_through_the_driver(spark):
     for q, (kind, u) in unit.items():
         want = sorted(((sum(a * b for a, b in zip(u, w, strict=True)), i) for i, (k, w) in unit.items() if k == kind), reverse=True)[:3]
         assert [i for _, i in sorted(got[q], reverse=True)[:3]] == [i for _, i in want] and len(got[q]) == len(set(got[q]))
-    below = None
-    for line in out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].splitlines():
-        depth = len(line) - len(line.lstrip(" :+-"))
-        below = None if below is not None and depth <= below else below
-        assert below is None or "MapInArrow" not in line
-        below = depth if "BroadcastExchange" in line and below is None else below
+    assert not packed_broadcasts(out)
 
 
 def test_limiter_streams_users(spark):
