@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import json
+import math
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from lodestrand.operators import agent, chunking, evaluation, knowledge, relational
+from lodestrand.plans import scoring
 from lodestrand.sources import files, html, vectors
 from lodestrand.streaming import requests
 
@@ -97,6 +100,29 @@ def test_thresholds(spark):
     assert evaluation.rank_auc(df).first().auc == pytest.approx(auc)
 
 
+ONE_SIDED = ([(4.0, True), (2.0, True), (2.0, True)], [(4.0, False), (1.0, False)], [])
+
+
+def in_duckdb(rows, query):
+    """A query of the catalogue over given scores: its SQL from the table of scores on."""
+    con = duckdb.connect()
+    con.sql("CREATE TABLE sc (score DOUBLE, positive BOOLEAN)")
+    if rows:
+        con.executemany("INSERT INTO sc VALUES (?, ?)", rows)
+    sql = scoring.SQL[query].removeprefix(scoring.SCORES).lstrip(", ")
+    return con.sql(sql if sql.startswith("SELECT") else f"WITH {sql}").fetchall()
+
+
+def flat(rows):
+    return sorted([tuple("nan" if isinstance(x, float) and math.isnan(x) else x for x in r) for r in rows], key=repr)
+
+
+@pytest.mark.parametrize("rows", ONE_SIDED)
+def test_sweep_of_one_side(spark, rows):
+    df = spark.createDataFrame(rows, "score double, positive boolean")
+    assert flat(scoring._rounded(evaluation.threshold_sweep(df)).collect()) == flat(in_duckdb(rows, "abstention_threshold_sweep"))
+
+
 def test_recall_and_pairs(spark):
     ranked = spark.createDataFrame([(1, 7, 1), (1, 8, 2), (2, 7, 1)], "qid long, doc long, rank long")
     gold = spark.createDataFrame([(1, 8), (1, 9), (2, 1)], "qid long, doc long")
