@@ -129,6 +129,12 @@ def test_best_threshold_of_one_side(spark, rows):
     assert flat(scoring._rounded(evaluation.best_threshold(evaluation.threshold_sweep(df))).collect()) == flat(in_duckdb(rows, "best_threshold"))
 
 
+@pytest.mark.parametrize("rows", ONE_SIDED)
+def test_auc_of_one_side(spark, rows):
+    df = spark.createDataFrame(rows, "score double, positive boolean")
+    assert flat(scoring._rounded(evaluation.rank_auc(df)).collect()) == flat(in_duckdb(rows, "rank_auc"))
+
+
 def test_recall_and_pairs(spark):
     ranked = spark.createDataFrame([(1, 7, 1), (1, 8, 2), (2, 7, 1)], "qid long, doc long, rank long")
     gold = spark.createDataFrame([(1, 8), (1, 9), (2, 1)], "qid long, doc long")
