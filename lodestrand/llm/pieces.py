@@ -27,7 +27,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -357,8 +357,8 @@ class Encoder:
         zero = np.asarray([self.v.byte[0]], "<u4").tobytes()
         for w in odd:  # the separator itself: it never joins a piece, so the word falls apart there
             found[w] = zero.join(encode_all((SPACE + w).split("\0"), self.v))
-        if len(self.known) < self.bound:
-            self.known.update((w, ids) for w, ids in found.items() if len(w) <= LONG)
+        if (room := self.bound - len(self.known)) > 0:
+            self.known.update(islice(((w, ids) for w, ids in found.items() if len(w) <= LONG), room))
         get = (found | {w: self.known[w] for w in distinct if w in self.known}).__getitem__
         return [np.frombuffer(b"".join(map(get, parts)), "<u4") for parts in split]
 
@@ -367,17 +367,17 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, remembered: int = 120_000) -> Encoder:
+def encoder(path: str, remembered: int = 20_000) -> Encoder:
     return Encoder(path, remembered)
 
 
 common.keeps("pieces", lambda: (encoder.cache_clear(), vocabulary.cache_clear()))
 
 
-def encode_column(df: DataFrame, path: str, text: str = "text", ids: bool = True, large: int = 1, spare: int = 1, remembered: int = 120_000) -> DataFrame:
+def encode_column(df: DataFrame, path: str, text: str = "text", ids: bool = True, large: int = 1, spare: int = 1, remembered: int = 20_000, size: int = 512 << 10) -> DataFrame:
     """df with n_pieces, ids_crc32 (of the little-endian unsigned 32-bit ids), round_trip (whether decoding gives the
     text back, U+2581 being a space) and, if wanted, the array of ids. ``large`` and ``spare`` are those of common.lean,
-    ``remembered`` bounds the words that a worker keeps."""
+    ``remembered`` bounds the words that a worker keeps, ``size`` the bytes of text that it encodes at once."""
     new = [T.StructField("n_pieces", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("round_trip", T.BooleanType()), *[T.StructField("piece_ids", T.ArrayType(T.IntegerType()))] * ids]
     df = df.drop(*(f.name for f in new))
     place = df.columns.index(text)
@@ -387,7 +387,7 @@ def encode_column(df: DataFrame, path: str, text: str = "text", ids: bool = True
 
         work = encoder(path, remembered)
         for batch in batches:
-            for part in common.parts(batch, place, 500):
+            for part in common.parts(batch, place, 500, size):
                 texts = [t or "" for t in part.column(place).to_pylist()]
                 found = work.encode(texts)
                 more = [pa.array([len(x) for x in found], pa.int64()), pa.array([zlib.crc32(x) for x in found], pa.int64()), pa.array([work.decode(x) == t.replace(SPACE, " ") for x, t in zip(found, texts, strict=True)], pa.bool_())]
@@ -419,4 +419,4 @@ def op7_sentencepiece(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = common.table(spark, sf_dir, "documents", "doc_id", "text")
-    return encode_column(docs, public_tokenizers.path("piece_bpe_32k.model"), ids=False, large=8, spare=64, remembered=300_000).drop("text")
+    return encode_column(docs, public_tokenizers.path("piece_bpe_32k.model"), ids=False, large=8, spare=64, remembered=300_000, size=2 << 20).drop("text")

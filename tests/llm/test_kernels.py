@@ -50,6 +50,12 @@ def test_piece_ids(paths):
     assert [work.decode(x) for x in got] == [t.replace("▁", " ") for t in texts]
 
 
+def test_remembered_words_are_bounded_within_a_batch(paths):
+    work = pieces.Encoder(paths(MODEL), remembered=5)
+    got = work.encode([" ".join(f"w{i}" for i in range(40))])
+    assert len(work.known) == 5 and work.decode(got[0]) == " ".join(f"w{i}" for i in range(40))
+
+
 PATTERNS = [re.compile(x) for x in (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")]
 
 
