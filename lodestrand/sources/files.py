@@ -74,13 +74,14 @@ def read_markdown(spark: SparkSession, path: str) -> DataFrame:
 
 def worksheet(pairs: DataFrame, entities: DataFrame) -> DataFrame:
     """Adjudication rows of candidate pairs (a, b, similarity) in order of similarity, with both entities' provenance;
-    unknown entities have empty fields."""
+    unknown entities have empty fields. Entities are joined by sorting, as a planner that goes by the size of compressed
+    files would send millions of them through the driver, once for each side."""
     out = numbered(pairs, "_n", F.round("similarity", 9).desc(), "a", "b")
     out = out.withColumn("pair_id", F.format_string("pair_%04d", "_n")).drop("_n")
     for side, key in (("entity1", "a"), ("entity2", "b")):
         joined = lambda c: F.array_join(F.coalesce(F.col(c), F.array().cast("array<string>")), "; ")
         cols = entities.select(F.col("id").alias(key), F.col("name").alias(f"{side}_name"), joined("aliases").alias(f"{side}_aliases"))
-        out = out.join(cols, key, "left")
+        out = out.join(cols.hint("merge"), key, "left")
     fill = {c: F.coalesce(c, F.lit("")) for c in out.columns if c.endswith(("_name", "_aliases"))}
     return out.withColumns(fill).withColumn("similarity", F.format_string("%.4f", "similarity"))
 

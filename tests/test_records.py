@@ -161,6 +161,19 @@ def test_worksheet_of_pairs_from_many_blocks(spark):
     assert {r.entity1_name for r in sheet if r.a == "m000"} == {"zero"} and not packed_broadcasts(pairs)
 
 
+def test_worksheet_sends_no_entities_through_the_driver(spark, tmp_path):
+    rows = [(f"m{i}", f"name {i}" if i % 3 else None, [f"x{i}", "y"] if i % 2 else None) for i in range(50)]
+    spark.createDataFrame(rows, "id string, name string, aliases array<string>").write.parquet(str(tmp_path / "known"))
+    pairs = spark.createDataFrame([(f"m{i}", f"m{i * 7 + 1}", 0.5 + i / 100) for i in range(20)], "a string, b string, similarity double")
+    sheet = files.worksheet(pairs, spark.read.parquet(str(tmp_path / "known")))
+    joins = [line for line in sheet._jdf.queryExecution().executedPlan().toString().splitlines() if "LeftOuter" in line]
+    assert len(joins) == 2 and all("SortMergeJoin" in line for line in joins)
+    names, aliases = {i: n or "" for i, n, _ in rows}, {i: "; ".join(a or []) for i, _, a in rows}
+    got = sorted((r.pair_id, r.a, r.b, r.entity1_name, r.entity1_aliases, r.entity2_name, r.entity2_aliases) for r in sheet.collect())
+    ends = [(f"m{i}", f"m{i * 7 + 1}") for i in reversed(range(20))]
+    assert got == [(f"pair_{n:04d}", a, b, names[a], aliases[a], names.get(b, ""), aliases.get(b, "")) for n, (a, b) in enumerate(ends, 1)]
+
+
 def test_neighbours_send_no_vectors_through_the_driver(spark):
     rng = random.Random(5)
     rows = [(i, "hot" if i % 6 else "rare", [rng.gauss(0, 1) for _ in range(4)]) for i in range(300)]
