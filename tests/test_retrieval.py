@@ -6,10 +6,12 @@ import math
 import random
 from collections import Counter, deque
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from lodestrand.operators import graph, ranking
+from lodestrand.operators import graph, ranking, substrings
+from lodestrand.plans import catalogue, retrieval
 
 DOCS = [(1, "the quick brown fox"), (2, "machine learning for text"), (3, ""), (10, "machine fox fox"), (5, "quick learning")]
 
@@ -102,3 +104,37 @@ def test_chunks(spark):
     assert got == [("c1", 1.0), ("c2", 0.0)]
     with pytest.raises(ValueError, match="hops"):
         graph.expand(visited, own, -1)
+
+
+def test_gold_of_short_items(spark, tmp_path):
+    """Items under three terms, without a term and empty ones are contained like any other; case folding, which hangs on what
+    stands around a text, has no part in it."""
+    docs = ["The quick brown fox.\nIt jumps over", "", None, "über die Straße geht 😀fox😀 weiter", "...--- ?!", "machine learning for the foxes", "  ", "MACHINE learning"]
+    items = ["", "fox", "quick brown", None, "?", " ", "The quick brown fox", "😀", "😀fox", "chine learni", ".\nIt", "--- ?!", "absent", "straße", "Straße geht", "Straße geht", "learning for the f", "foxes and more", "?fox", "machine l"]
+    held = ["x ΑΣ.ʰa b", "aʰ'Σ b c"]
+    asked = ["x ΑΣ.ʰ", "ʰ'Σ b c"]
+    for name, d, i in (("plain", docs, items), ("all", docs + held, items + asked)):
+        sf = tmp_path / name
+        spark.createDataFrame([(k, x, "web") for k, x in enumerate(d)], "doc_id long, text string, source string").write.parquet(f"{sf}/documents.parquet")
+        spark.createDataFrame(list(enumerate(i)), "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+        con = duckdb.connect()
+        for t in ("documents", "benchmark"):
+            con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet/*.parquet'")
+        assert sorted(tuple(r) for r in retrieval.gold_pairs(spark, str(sf)).collect()) == sorted(con.sql(retrieval.GOLD).fetchall())
+        if name == "plain":
+            best = catalogue.queries()["best_threshold"](spark, str(sf))
+            want = con.sql(catalogue.oracle_sql()["best_threshold"])
+            assert [tuple(r) for r in best.select(*want.columns).collect()] == want.fetchall()
+
+
+def test_holding(spark):
+    rng = random.Random(7)
+    texts = [(i, None if i % 19 == 3 else "".join(rng.choice("abñ \0") for _ in range(rng.randrange(30)))) for i in range(200)]
+    wanted = list({"".join(rng.choice("abñ \0") for _ in range(rng.randrange(6))).encode()[:8] for _ in range(90)} | {b"", b"a\0", b"a"})
+    df = spark.createDataFrame(texts, "id long, text string").repartition(3)
+    want = sorted((i, s) for i, t in texts if t is not None for s in wanted if s in t.encode())
+    for places in (1, 7, 1 << 20):
+        assert sorted((r.id, bytes(r.start)) for r in substrings.holding(df, "id", "text", wanted, places).collect()) == want
+    assert substrings.holding(df, "id", "text", []).collect() == []
+    with pytest.raises(ValueError, match="eight"):
+        substrings.holding(df, "id", "text", [b"123456789"])
